@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,24 @@ def broadcast_if_small(df: DataFrame, key: str, max_rows: int = 100_000) -> Data
     """
     few = df.select(key).limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once for each Spark application.
+
+    Workers that find the package on their own path use that; others import what Spark delivers.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="plumbline-code-")
+    archive = os.path.join(folder, "plumbline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(path, name)
+                    out.write(full, os.path.join("plumbline", os.path.relpath(full, root)))
+    sc.addPyFile(archive)  # Spark copies it to every executor
+    sc._plumbline_shipped = True  # noqa: SLF001
