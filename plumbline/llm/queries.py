@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.garbled import garbled_captures
 from plumbline.llm.leaks import leaked_items
+from plumbline.llm.looks import canonical_column, look_alikes
 from plumbline.llm.spans import SharedSpans
 from plumbline.llm.tokens import encode_documents
 from plumbline.sources.tables import table
@@ -14,6 +16,24 @@ from plumbline.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alikes(table(spark, folder, "products"), table(spark, folder, "captures"))
+
+
+def p1_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every product row with the canonical form of its name."""
+    products = table(spark, folder, "products", "product_id", "name")
+    return products.withColumn("canonical", canonical_column(products["name"]))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_captures(table(spark, folder, "captures"), restored=False).select("capture_id")
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_captures(table(spark, folder, "captures"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"))
 
@@ -35,6 +55,10 @@ def p8_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_names": p1_names,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
