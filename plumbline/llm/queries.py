@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.boilerplate import main_body
 from plumbline.llm.garbled import garbled_captures
 from plumbline.llm.leaks import leaked_items
 from plumbline.llm.looks import canonical_column, look_alikes
@@ -26,6 +27,10 @@ def p1_names(spark: SparkSession, folder: str) -> DataFrame:
     return products.withColumn("canonical", canonical_column(products["name"]))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_body(table(spark, folder, "captures"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_captures(table(spark, folder, "captures"), restored=False).select("capture_id")
 
@@ -57,6 +62,7 @@ def p8_clusters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_names": p1_names,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p6_ids": p6_ids,
