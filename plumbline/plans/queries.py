@@ -12,6 +12,7 @@ from plumbline.functions.hashing import canonical_map, stable_id
 from plumbline.functions.media import bare_media_type
 from plumbline.functions.text import comparable_column
 from plumbline.functions.times import freshness
+from plumbline.functions.units import UNITS, fold_spelling
 from plumbline.functions.urls import host
 from plumbline.operators.aggregates import conflicts, fixed_counts, listed_counts, state_rollup, summary_rows, top_and_rest, with_statistics
 from plumbline.operators.conditions import classify, term_match
@@ -49,14 +50,62 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- units and snapshots
 
 
-@query()
+_NUM = r"\d[\d.,'  ]*"
+
+
+def _sql_quantity(text: str, name: str) -> str:
+    """SQL for the numbers and the unit of a quantity: ``<name>_n``, ``<name>_has``, ``<name>_u``."""
+    pattern = rf"^\s*(?:({_NUM})\s*[xX×*]\s*)?({_NUM})?\s*(\D*?)\s*(?:[xX×*]\s*({_NUM}))?\s*$".replace("'", "''")
+    part = lambda g: f"nullif(regexp_extract({text}, '{pattern}', {g}), '')"
+    n = [f"CASE WHEN {part(g)} IS NULL THEN 1.0 ELSE {_sql_number(part(g))} END" for g in (1, 2, 4)]
+    return f"{n[0]} * {n[1]} * {n[2]} AS {name}_n, {part(1)} IS NOT NULL OR {part(2)} IS NOT NULL AS {name}_has, nullif({part(3)}, '-') AS {name}_u"
+
+
+def _sql_number(text: str) -> str:
+    bare = f"regexp_replace({text}, '[''  ]', '', 'g')"
+    return f"try_cast(CASE WHEN sep = ',' THEN replace(replace({bare}, '.', ''), ',', '.') ELSE replace({bare}, ',', '') END AS DOUBLE)"
+
+
+_PRICE_SQL = rf"^\s*(?:KRW|USD|EUR|₩|\$|€)?\s*({_NUM})\s*(만\s?원|천\s?원|원|cents?|c|¢|USD|EUR|KRW|\$|€)?\s*((?:/|per\s).*)?$".replace("'", "''")
+_UNIT_ROWS = ", ".join(f"('{a}', '{dim}', {size!r})" for dim, _, size, names in UNITS for a in dict.fromkeys(fold_spelling(x) for x in names))
+# Exact spellings only: what the fuzzy mapping adds is tested by itself.
+_P2_SQL = rf"""
+    u(alias, dim, size) AS (SELECT DISTINCT * FROM (VALUES {_UNIT_ROWS})),
+    sep AS (SELECT source_id, max(decimal_separator) AS sep FROM sources GROUP BY source_id),
+    priced AS (SELECT *, coalesce(s.sep, '.') AS sep0, nullif(regexp_extract(price, '{_PRICE_SQL}', 3), '') AS stated,
+      nullif(regexp_extract(price, '{_PRICE_SQL}', 1), '') AS figure, replace(regexp_extract(price, '{_PRICE_SQL}', 2), ' ', '') AS scale
+      FROM catalog_rows LEFT JOIN sep s USING (source_id)),
+    read AS (SELECT * REPLACE (sep0 AS sep), regexp_extract(coalesce(stated, price_basis), '^\s*(?:per\s+|/\s*)?(.*?)\s*당?\s*$', 1) AS basis FROM priced),
+    parts AS (SELECT row_id, ingested_at, model, currency, {_sql_quantity("unit", "unit")}, {_sql_quantity("pack_quantity", "pack")}, {_sql_quantity("basis", "basis")},
+      {_sql_number("figure")} * CASE WHEN scale = '천원' THEN 1e3 WHEN scale = '만원' THEN 1e4 WHEN scale IN ('cent', 'cents', 'c', '¢') THEN 0.01 ELSE 1.0 END AS amount FROM read),
+    spelled AS (SELECT DISTINCT unnest([unit_u, pack_u, basis_u]) AS x FROM parts),
+    names AS (SELECT x, dim, size FROM spelled JOIN u ON alias = CASE x WHEN '㎏' THEN 'kg' WHEN '㎖' THEN 'ml' WHEN '㎝' THEN 'cm' WHEN 'ℓ' THEN 'l' WHEN 'Pack' THEN 'pack' WHEN 'Each' THEN 'each' ELSE x END),
+    joined AS (SELECT p.*, a.dim AS ad, a.size AS az, b.dim AS bd, b.size AS bz, c.dim AS cd, c.size AS cz FROM parts p
+      LEFT JOIN names a ON p.unit_u = a.x LEFT JOIN names b ON p.pack_u = b.x LEFT JOIN names c ON p.basis_u = c.x),
+    own AS (SELECT *, CASE WHEN ad NOT IN ('package', 'each') THEN ad END AS udim, CASE WHEN ad NOT IN ('package', 'each') THEN unit_n * az END AS usize FROM joined),
+    held AS (SELECT *, CASE WHEN pack_u IS NULL THEN udim WHEN bd NOT IN ('package', 'each') THEN bd END AS dim,
+      CASE WHEN pack_has THEN CASE WHEN pack_u IS NULL THEN pack_n * usize WHEN bd NOT IN ('package', 'each') THEN pack_n * bz END END AS held FROM own),
+    bought AS (SELECT *, CASE WHEN cd = 'package' THEN held WHEN cd = 'each' AND udim = dim THEN usize WHEN cd = dim THEN basis_n * cz END AS buys FROM held),
+    valued AS (SELECT row_id, ingested_at, model, currency, dim, held, CASE WHEN buys > 0 THEN amount / buys END AS up FROM bought),
+    latest AS (SELECT DISTINCT ON (row_id) * FROM valued ORDER BY row_id, ingested_at DESC, held DESC NULLS LAST),
+    offers AS (SELECT row_id, model, currency, CASE WHEN held > 0 AND up > 0 THEN dim END AS dimension, CASE WHEN held > 0 AND up > 0 THEN held END AS content,
+      CASE WHEN held > 0 AND up > 0 THEN up END AS unit_price FROM latest)"""
+
+
+@query(
+    f"""WITH {_P2_SQL} SELECT least(a.row_id, b.row_id) AS row_id_a, greatest(a.row_id, b.row_id) AS row_id_b FROM offers a JOIN offers b
+    ON a.model = b.model AND a.currency = b.currency AND a.dimension = b.dimension AND a.row_id < b.row_id
+    WHERE abs(a.content - b.content) <= 0.001 * greatest(a.content, b.content) AND abs(a.unit_price - b.unit_price) <= 0.001 * greatest(a.unit_price, b.unit_price)"""
+)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_offers(normalize_offers(table(spark, folder, "catalog_rows"), table(spark, folder, "sources")))
 
 
-@query()
+@query(f"WITH {_P2_SQL} SELECT row_id, model, currency, dimension, round(content, 6) AS content, round(unit_price, 9) AS unit_price FROM offers")
 def p2_units(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize_offers(table(spark, folder, "catalog_rows"), table(spark, folder, "sources"))
+    """Every catalog row with its content and price in common units."""
+    offers = normalize_offers(table(spark, folder, "catalog_rows"), table(spark, folder, "sources"))
+    return offers.withColumns({"content": F.round("content", 6), "unit_price": F.round("unit_price", 9)})
 
 
 @query(
