@@ -71,4 +71,23 @@ QUERIES: dict[str, Query] = {
     "p8_shares": p8_shares,
     "p8_clusters": p8_clusters,
 }
-ORACLE: dict[str, str] = {}
+# White space of any kind, and characters that don't count in a word, as regular expressions.
+_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SILENT = r"[\p{P}\p{S}\p{Cf}]|[\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}]"
+_RUNS = f"""SELECT id, array_to_string(list_slice(w, i, i + 11), ' ') AS run FROM (
+  SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM (
+    SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(nfc_normalize(text)), '{_SILENT}', '', 'g'), '{_SPACE}'), lambda x: x <> '') AS w FROM (%s)))"""
+_WINDOWS = """w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM (
+    SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
+
+ORACLE: dict[str, str] = {
+    "p7_found": f"""WITH d AS ({_RUNS % "SELECT doc_id AS id, text FROM documents"}), e AS ({_RUNS % "SELECT item_id AS id, text FROM eval_items"})
+    SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d JOIN e USING (run)""",
+    "p8_found": f"""WITH {_WINDOWS}, u AS (SELECT DISTINCT doc_id, h FROM w)
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_shares": f"""WITH {_WINDOWS}, several AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    starts AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w SEMI JOIN several USING (h)),
+    sums AS (SELECT doc_id, CAST(sum(least(300, coalesce(n - i, 300))) AS BIGINT) AS s FROM starts GROUP BY doc_id)
+    SELECT doc_id, length(text) AS n_chars, coalesce(s, 0) AS shared_chars, coalesce(round(CAST(s AS DOUBLE) / length(text), 6), 0.0) AS share
+    FROM documents LEFT JOIN sums USING (doc_id)""",
+}
