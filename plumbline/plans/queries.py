@@ -578,14 +578,14 @@ def gap_classes(spark: SparkSession, folder: str) -> DataFrame:
       regexp_replace(trim(price), '^([A-Z]{3}\s+|[$₩€£¥]\s*)|\s*([A-Z]{3}|원)$', '', 'g') AS b FROM catalog_rows LEFT JOIN sources USING (source_id))
     SELECT row_id, ingested_at, CAST(CASE
       WHEN sep = '.' AND regexp_full_match(b, '(\d+|\d{1,3}(,\d{3})+)(\.\d+)?') THEN try_cast(replace(b, ',', '') AS DECIMAL(38,10))
-      WHEN sep = ',' AND regexp_full_match(b, '(\d+|\d{1,3}(\.\d{3})+)(,\d+)?') THEN try_cast(replace(replace(b, '.', ''), ',', '.') AS DECIMAL(38,10)) END AS DECIMAL(38,10)) AS amount
+      WHEN sep = ',' AND regexp_full_match(b, '(\d+|\d{1,3}(\.\d{3})+)(,\d+)?') THEN try_cast(replace(replace(b, '.', ''), ',', '.') AS DECIMAL(38,10)) END AS DOUBLE) AS amount
     FROM t"""
 )
 def strict_amounts(spark: SparkSession, folder: str) -> DataFrame:
     """Prices that are one plain amount in their source's number format."""
     rows = table(spark, folder, "catalog_rows", "row_id", "ingested_at", "source_id", "price")
     formats = broadcast_if_small(table(spark, folder, "sources", "source_id", "decimal_separator"), "source_id")
-    return rows.join(formats, "source_id", "left").select("row_id", "ingested_at", strict_amount(F.col("price"), F.col("decimal_separator")).alias("amount"))
+    return rows.join(formats, "source_id", "left").select("row_id", "ingested_at", strict_amount(F.col("price"), F.col("decimal_separator")).cast("double").alias("amount"))
 
 
 @query()
