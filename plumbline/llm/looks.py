@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
 
 import pyarrow as pa
@@ -136,14 +136,16 @@ def canonical_column(text: Column) -> Column:
     return F.udf(canonical_text, "string", useArrow=True)(text)
 
 
-def look_keys(rows: DataFrame, id_col: str, text_col: str, media_col: str | None = None) -> DataFrame:
-    """``rows`` with ``form`` and ``raw`` in place of the text: 128-bit hashes of the canonical form and of the text itself.
+def look_keys(
+    rows: DataFrame, id_col: str, text_col: str, media_col: str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``id_col``, ``keep``, ``form`` and ``raw``: 128-bit hashes of a text's canonical form and of the text itself.
 
-    Binary text is decoded as ``media_col`` declares. Rows with a null id or text are left out. No shuffle: only the
-    hashes leave the scan.
+    Binary text is decoded as ``media_col`` declares. Rows with a null id or text are left out, columns
+    not named are ignored. No shuffle: only the hashes leave the scan.
     """
     wanted = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    keep = [c for c in wanted.columns if c not in (text_col, media_col)]
+    keep = [id_col, *keep]
     wanted = wanted.select(*keep, text_col, *([media_col] if media_col else []))
     kinds = ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in keep)
     width = len(keep)
@@ -191,8 +193,8 @@ def look_alikes(products: DataFrame, captures: DataFrame) -> DataFrame:
     Of repeated deliveries of a capture the one with the latest ``ingested_at`` stands. Null names and contents look like
     nothing.
     """
-    names = look_keys(products.select("product_id", "name"), "product_id", "name")
-    pages = look_keys(captures.select("capture_id", "ingested_at", "content", "media_type"), "capture_id", "content", "media_type")
+    names = look_keys(products, "product_id", "name")
+    pages = look_keys(captures, "capture_id", "content", "media_type", ["ingested_at"])
     latest = pages.groupBy("capture_id").agg(F.max(F.struct("ingested_at", "form", "raw")).alias("v"))
     return same_looks(names.withColumnRenamed("product_id", "id")).select(F.lit("product").alias("kind"), "id_a", "id_b").unionByName(
         same_looks(latest.select(F.col("capture_id").alias("id"), "v.form", "v.raw")).select(F.lit("capture").alias("kind"), "id_a", "id_b")
