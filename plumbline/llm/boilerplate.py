@@ -38,8 +38,8 @@ DEPTH, LEAF = 12, 3
 
 _UNSEEN = re.compile(r"<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", re.IGNORECASE | re.DOTALL)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>")
-_CODE = re.compile(r"\b(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*\d\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\b")
-_MONEY = re.compile(r"[$€£¥₩]|\d\s?[円원]|\b(?:USD|EUR|KRW|GBP|JPY)\b")
+_CODE = re.compile(r"\b(?=[A-Za-z0-9-]*[A-Z])(?=[A-Za-z0-9-]*\d\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\b")
+_MONEY = re.compile(r"[$€£¥₩]|\d\s?[円원]|\b(?:USD|EUR|KRW|GBP|JPY)\b(?!-)")
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[.!?。！？]\s*$")
 #: Elements that hold others; a line that only opens or closes them is no block.
@@ -74,11 +74,11 @@ _EMPTY = (0, 0, 0, 0.0, 0, 0, 0.0, 0, 0, 0, 0, 0, 0.0)
 
 
 def tokens(text: str) -> list[tuple[str, list[str]]]:
-    """Words for the table of uses, letters only and in lower case, each with its pairs of letters if it is a long word of
+    """Words for the table of uses, letters only and in lower case, without codes, each with its pairs of letters if it is a long word of
     a script that joins words or endings."""
     return [
         (w, [f"~{w[i : i + 2]}" for i in range(len(w) - 1)] if len(w) > 2 and not w.isascii() else [])
-        for w in _WORD.findall(text.lower())
+        for w in _WORD.findall(_CODE.sub(" ", text).lower())
     ]
 
 
