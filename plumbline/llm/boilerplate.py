@@ -166,7 +166,7 @@ def read_line(raw: str, uses: Uses) -> Line:
     shown = " ".join(shown.split())
     if not shown:
         return Line(*_EMPTY, opens, closes)
-    digits = sum(c.isdigit() for c in shown)
+    digits = sum(map(str.isdigit, shown))
     coded, sentence, colon = _CODE.search(shown), bool(_BREAK.search(shown)), ": " in shown or "：" in shown
     named = is_name(shown)
     heard, use = (1, 0.0) if named else uses.of(shown)
@@ -184,11 +184,11 @@ FEATURES = (
     "p_words p_kind p_link p_code p_money p_digits p_sentence p_use n_words n_kind n_link n_code n_money n_digits n_sentence n_use "
     "pp_use nn_use pp_code nn_code titled since items listed n_listed holder ending"
 ).split()
-HOLDER, HEARD = FEATURES.index("holder"), FEATURES.index("heard")
+HEARD = FEATURES.index("heard")
 
 
 def page_features(lines: list[Line]) -> tuple[list[int], list[tuple[float, ...]]]:
-    """Indices of the blocks of a page and their features.
+    """Indices and features of those blocks of a page that lie in the title's element.
 
     The title is the first ``h1``, or else the first name with a code, outside links, that a short line with digits but
     no code follows. ``titled`` says whether a block is before, at or after it, ``since`` how many blocks
@@ -213,7 +213,7 @@ def page_features(lines: list[Line]) -> tuple[list[int], list[tuple[float, ...]]
     home = levels[at[title]] if title is not None else 0
     marked = has_elements(lines)
     lowest, items, plain = home, 0, 0
-    rows = []
+    rows, inside = [], []
     pad = Line(*_EMPTY, 0, 0)
     for k, x in enumerate(blocks):
         p, n = blocks[k - 1] if k else pad, blocks[k + 1] if k + 1 < len(blocks) else pad
@@ -227,18 +227,18 @@ def page_features(lines: list[Line]) -> tuple[list[int], list[tuple[float, ...]]
             holder = int(titled >= 1 and not items and not listed)
         else:
             holder = 0 if titled <= 0 else (-1 if lowest < home else levels[at[k]] - home + 1)
-        rows.append(
-            (
+        if holder > 0:
+            inside.append(at[k])
+            rows.append((
                 x.words, x.chars, x.kind, x.link, x.code, x.money, x.digits, x.sentence, x.colon, x.signs, x.named, x.heard, x.use,
                 p.named, n.named,
                 p.words, p.kind, p.link, p.code, p.money, p.digits, p.sentence, p.use,
                 n.words, n.kind, n.link, n.code, n.money, n.digits, n.sentence, n.use,
                 pp.use, nn.use, pp.code, nn.code, titled, min(40, k - title) if titled > 0 else -1, items, listed, n_listed, holder, plain,
-            )
-        )
+            ))
         items += listed
         plain = 0 if x.digits or x.code else plain + 1
-    return at, rows
+    return inside, rows
 
 
 class Tree:
@@ -360,10 +360,8 @@ def train(pages: list[list[tuple[str, int]]], folds: int = 20) -> Model:
                 lines = [read_line(line, uses) for line, _ in page]
                 at, rows = page_features(lines)
                 key = (has_elements(lines), fold < folds)
-                for i, row in zip(at, rows, strict=True):
-                    if row[HOLDER] > 0:
-                        x[key].append(row)
-                        y[key].append(page[i][1])
+                x[key] += rows
+                y[key] += [page[i][1] for i in at]
     trees = {key: Tree(np.array(x[key], np.float64), np.array(y[key])) for key in x if x[key]}
     return Model(Uses.learn(forms), trees)
 
@@ -406,10 +404,9 @@ class Classifier:
         for content, charset in contents:
             lines = self.lines(content, charset)
             at, features = page_features(lines)
-            inside = [k for k, f in enumerate(features) if f[HOLDER] > 0]  # none in a page without a title
-            numbers += [at[k] + 1 for k in inside]
-            rows += [features[k] for k in inside]
-            marked += [has_elements(lines)] * len(inside)
+            numbers += [i + 1 for i in at]
+            rows += features
+            marked += [has_elements(lines)] * len(at)
             ends.append(len(numbers))
         if not rows:
             return [[] for _ in contents]
