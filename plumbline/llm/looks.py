@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.media import decode
+from plumbline.session import cut_lineage
 
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
@@ -176,7 +177,8 @@ def same_looks(keys: DataFrame) -> DataFrame:
     paired, and then their members. So a page that was fetched a million times unchanged and once with another space gives
     a million rows and no comparison among the million. Repeated rows count once.
     """
-    keys = keys.select("id", "form", "raw").distinct()
+    # Read five times below; the hashes are small, the texts behind them are not read again.
+    keys = cut_lineage(keys.select("id", "form", "raw").distinct())
     classes = keys.groupBy("form", "raw").agg(F.count("*").alias("n"))
     varied = classes.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high").select("form")
     several = classes.join(varied, "form").select("form", "raw")
