@@ -150,3 +150,26 @@ def glob_regex(glob: Column) -> Column:
     """A regular expression for a glob: ``*`` any characters, ``?`` one, all others themselves."""
     quoted = F.regexp_replace(glob, r"([.\\+^$()\[\]{}|])", r"\\$1")
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
+
+
+def associate(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, details: str | None = None) -> DataFrame:
+    """``left_id, right_id, link``: each left row with the one right row that its keys lead to.
+
+    ``link`` is ``linked`` for exactly one candidate, ``ambiguous`` for several (``right_id`` is then null), ``unmatched`` for none.
+    With ``details``, a map column of both sides, a candidate is excluded that states another value for a key of the left
+    row's map; what one side doesn't state is no conflict. Ids are expected to be unique; a null key matches nothing.
+
+    Candidates are counted, not collected, so a key of any size is one count.
+    """
+    right_side = right.select(*keys, F.col(right_id).alias("__rid"), *([F.col(details).alias("__rd")] if details else []))
+    pairs = left.select(*keys, F.col(left_id).alias("__lid"), *([F.col(details).alias("__ld")] if details else [])).join(right_side, list(keys))
+    if details:
+        clash = F.exists(F.map_entries("__ld"), lambda e: F.try_element_at(F.col("__rd"), e["key"]) != e["value"])
+        pairs = pairs.where(~F.coalesce(clash, F.lit(False)))
+    found = pairs.groupBy("__lid").agg(F.min("__rid").alias("__one"), F.count("*").alias("__n"))
+    n = F.coalesce("__n", F.lit(0))
+    return left.join(found, left[left_id].eqNullSafe(found["__lid"]), "left").select(
+        left[left_id],
+        F.when(n == 1, F.col("__one")).alias(right_id),
+        F.when(n == 1, "linked").when(n > 1, "ambiguous").otherwise("unmatched").alias("link"),
+    )

@@ -17,7 +17,7 @@ from plumbline.functions.urls import host
 from plumbline.operators.aggregates import conflicts, fixed_counts, listed_counts, state_rollup, summary_rows, top_and_rest, with_statistics
 from plumbline.operators.conditions import classify, term_match
 from plumbline.operators.graph import connected_components, reachable
-from plumbline.operators.joins import asof_join, containment_pairs, last_before, match_identifiers, most_specific_rule, planned_gaps
+from plumbline.operators.joins import asof_join, associate, containment_pairs, last_before, match_identifiers, most_specific_rule, planned_gaps
 from plumbline.operators.measures import normalize_offers, same_offers
 from plumbline.operators.pairing import SEVERITY, item_changes, severity
 from plumbline.operators.sets import insert_if_absent, multiset_difference, union_with_provenance, upsert
@@ -25,7 +25,7 @@ from plumbline.operators.snapshots import refresh_changes
 from plumbline.operators.versions import latest_per_key
 from plumbline.operators.windows import batch_slices, deterministic_sample, occurrence_suffix, page, previous_value
 from plumbline.session import broadcast_if_small
-from plumbline.sources.pages import css_rows, links, repeated_cards, snapshots
+from plumbline.sources.pages import css_rows, links, price_lines, repeated_cards, snapshots
 from plumbline.sources.records import url_list
 from plumbline.sources.sinks import content_store
 from plumbline.sources.tables import table
@@ -278,14 +278,14 @@ def asof_last_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CAPTURES} SELECT capture_id FROM one a WHERE status <> 'fetched'
-    AND EXISTS (SELECT 1 FROM one b WHERE b.url = a.url AND b.status = 'fetched')"""
+    """SELECT DISTINCT capture_id FROM captures a WHERE status = 'fetched'
+    AND EXISTS (SELECT 1 FROM captures b WHERE b.source_id = a.source_id AND b.status = 'needs_auth')"""
 )
-def recoverable_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """Captures that failed for a URL that another capture fetched (a semi join)."""
-    rows = _captures(spark, folder)
-    good = rows.where("status = 'fetched'").select("url")
-    return rows.where("status <> 'fetched'").join(good, "url", "left_semi").select("capture_id")
+def captures_behind_sign_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched captures of sources that asked to sign in at another time (a semi join)."""
+    rows = table(spark, folder, "captures", "capture_id", "source_id", "status")
+    asked = rows.where("status = 'needs_auth'").select("source_id")
+    return rows.where("status = 'fetched'").join(asked, "source_id", "left_semi").select("capture_id").distinct()
 
 
 @query("""SELECT DISTINCT product_id FROM products p WHERE NOT EXISTS (SELECT 1 FROM catalog_rows c WHERE c.product_id = p.product_id)""")
@@ -294,6 +294,21 @@ def products_without_offers(spark: SparkSession, folder: str) -> DataFrame:
     return products.join(table(spark, folder, "catalog_rows", "product_id"), "product_id", "left_anti")
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT product_id, identifiers['gtin'] AS g FROM products), n AS (SELECT g, count(*) AS n, min(product_id) AS one FROM p WHERE g <> '' GROUP BY g),
+    l AS (SELECT DISTINCT name, identifiers['gtin'] AS g FROM products), one AS (SELECT name, min(g) AS g FROM l GROUP BY name)
+    SELECT name, CASE WHEN n = 1 THEN n.one END AS product_id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS link
+    FROM one LEFT JOIN n USING (g)"""
+)
+def names_linked(spark: SparkSession, folder: str) -> DataFrame:
+    """Each product name with the one product that its number leads to, if it is one."""
+    gtin = F.nullif(F.try_element_at("identifiers", F.lit("gtin")), F.lit(""))
+    products = table(spark, folder, "products", "product_id", "name", "identifiers")
+    raw = F.try_element_at("identifiers", F.lit("gtin"))
+    names = products.groupBy("name").agg(F.min(raw).alias("g")).withColumn("g", F.nullif("g", F.lit("")))
+    return associate(names, products.select("product_id", gtin.alias("g")).distinct(), ["g"], "name", "product_id")
+
+
 @query(
     """WITH p AS (SELECT product_id, price_profile, lower(name) AS n FROM products GROUP BY ALL)
     SELECT DISTINCT a.product_id AS short_id, b.product_id AS long_id FROM p a JOIN p b ON a.price_profile = b.price_profile
@@ -682,6 +697,12 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return links(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
 
 
+@query()
+def page_price_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled amounts of pages that list several."""
+    return price_lines(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
+
+
 @query()
 def page_cards(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_cards(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))

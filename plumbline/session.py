@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,19 +69,30 @@ def broadcast_if_small(df: DataFrame, key: str, max_rows: int = 100_000) -> Data
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once for each Spark application.
 
-    Workers that find the package on their own path use that; others import what Spark delivers.
+    Workers that find the package on their own path use that; others import what Spark delivers. The archive is put into
+    the folder that ``spark.checkpoint.dir`` names; only where that is unset into a temporary one.
     """
     sc = spark.sparkContext
     if getattr(sc, "_plumbline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="plumbline-code-")
-    archive = os.path.join(folder, "plumbline.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
         for path, _, files in os.walk(root):
             for name in files:
                 if name.endswith(".py"):
                     full = os.path.join(path, name)
                     out.write(full, os.path.join("plumbline", os.path.relpath(full, root)))
-    sc.addPyFile(archive)  # Spark copies it to every executor
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        place = f"{shared.rstrip('/')}/plumbline-code-{uuid.uuid4().hex}/plumbline.zip"
+        target = sc._jvm.org.apache.hadoop.fs.Path(place)  # noqa: SLF001
+        stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)  # noqa: SLF001
+        stream.write(bytearray(packed.getvalue()))
+        stream.close()
+    else:
+        place = os.path.join(tempfile.mkdtemp(prefix="plumbline-code-"), "plumbline.zip")
+        with open(place, "wb") as out:
+            out.write(packed.getvalue())
+    sc.addPyFile(place)  # Spark copies it to every executor
     sc._plumbline_shipped = True  # noqa: SLF001

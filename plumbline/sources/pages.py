@@ -227,3 +227,73 @@ def snapshots(captures: DataFrame) -> DataFrame:
         F.col("v.content").alias("content"), F.lit("text/html; charset=utf-8").alias("media_type"),
     )
     return first.unionByName(further).where(F.length("content") > 0)
+
+
+def pattern_rows(pages: DataFrame, text: str, pattern: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep, line_no, fields``: the named groups of ``pattern`` in every line of a text that it matches.
+
+    Texts come from an earlier step (the pages of a PDF, say). A null or blank text is one row with null ``fields``: a
+    gap that is told, not a page without records. A text without a match gives nothing.
+    """
+    compiled = re.compile(pattern)
+
+    def find(shown: str | None) -> list[tuple]:
+        if not shown or not shown.strip():
+            return [(None, None)]
+        return [(n, {k: v for k, v in m.groupdict().items() if v is not None}) for n, line in enumerate(shown.split("\n"), 1) for m in compiled.finditer(line)]
+
+    found = F.udf(find, "array<struct<line_no:int,fields:map<string,string>>>", useArrow=True)(F.col(text))
+    return pages.select(*keep, F.inline(found))
+
+
+def price_lines(captures: DataFrame, least: int = 2) -> DataFrame:
+    """``label, amount, marker``: lines of a page that are a label and one amount ("Plan A : 13,500원"), on pages with at least
+    ``least`` labels. Amounts of zero are left out."""
+    from plumbline.functions.amounts import marked_amounts
+
+    def find(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
+        out = []
+        for line in re.sub(r"<br\s*/?>|</(?:p|div|li|tr|h\d)>", "\n", text).split("\n"):
+            shown = parse(line).text()
+            label, colon, rest = shown.partition(":") if ":" in shown else shown.partition("：")
+            found = marked_amounts(rest) if colon else []
+            if len(found) == 1 and label.strip() and found[0].value != "0":
+                out.append((label.strip(), found[0].value, found[0].marker))
+        return out if len({label for label, _, _ in out}) >= least else []
+
+    return scan(captures, find, "label:string,amount:string,marker:string")
+
+
+#: Texts of links that lead to the next page of a listing.
+NEXT = ("next", "다음", "次へ", "suivant", "weiter", "›", "»", ">")
+
+
+def pagination_links(captures: DataFrame) -> DataFrame:
+    """``link, text``: links to further pages of a listing: ``rel=next``, links in pagers, and links named "next"."""
+    def find(text: str, url: str | None) -> list[tuple]:
+        out: dict[str, str] = {}
+        for node in parse(text).elements():
+            if node.tag not in ("a", "link") or not node.attrs.get("href"):
+                continue
+            shown, around, at = node.text(), set(), node
+            while at is not None:
+                around |= {c.lower() for c in at.classes()}
+                at = at.parent
+            pager = any(w in c for c in around for w in ("pager", "pagination", "paging")) and shown.isdigit()
+            if "next" in node.attrs.get("rel", "").lower().split() or shown.strip().lower() in NEXT or pager:
+                link = urldefrag(urljoin(url or "", node.attrs["href"]))[0]
+                if urlsplit(link).scheme in ("http", "https"):
+                    out.setdefault(link, shown)
+        return list(out.items())
+
+    return scan(captures, find, "link:string,text:string")
+
+
+def frontier(found: DataFrame, priority: str, order: str, group: str, limit: int) -> DataFrame:
+    """``found`` with ``place`` and ``truncated``: for each group the first ``limit`` links by priority and order; ``truncated``
+    tells on every row whether the group had more."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(group)
+    ranked = found.withColumns({"place": F.row_number().over(w.orderBy(priority, order)), "truncated": F.count("*").over(w) > limit})
+    return ranked.where(F.col("place") <= limit)

@@ -95,3 +95,29 @@ def workbook(sheets: Mapping[str, tuple[Sequence[str], Sequence[Sequence[object]
                 lines.append(f'<row r="{r}">{"".join(cells)}</row>')
             book.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
     return out.getvalue()
+
+
+def dashboard(title: str, tables: Mapping[str, DataFrame], most: int = 200) -> str:
+    """An HTML page of small result tables; each shows its first ``most`` rows and says so if there are more."""
+    parts = [f"<!doctype html>\n<html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body>\n<h1>{escape(title)}</h1>"]
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+        body = "\n".join("<tr>" + "".join(f"<td>{'' if v is None else escape(str(v))}</td>" for v in r) + "</tr>" for r in rows[:most])
+        more = f"<p>Only the first {most} rows are shown.</p>" if len(rows) > most else ""
+        parts.append(f"<h2>{escape(name)}</h2>\n<table><tr>{head}</tr>\n{body}\n</table>{more}")
+    return "\n".join([*parts, "</body></html>"])
+
+
+def read_back(content: bytes, sheets: Mapping[str, tuple[Sequence[str], Sequence[Sequence[object]]]]) -> list[str]:
+    """What differs between a workbook and the sheets it was made from, cell by cell; empty if nothing does."""
+    from plumbline.sources.records import xlsx_rows
+
+    have: dict[tuple[str, int, int], str] = {}
+    for sheet, row, cells, _ in xlsx_rows(content):
+        have |= {(sheet, row, c): v for c, v in enumerate(cells) if v is not None}
+    want = {
+        (name[:31], r, c): (repr(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else cell_text(str(v)))
+        for name, (header, rows) in sheets.items() for r, row in enumerate([header, *rows], 1) for c, v in enumerate(row) if v is not None
+    }
+    return [f"{k[0]}!{_letters(k[2])}{k[1]}: {want.get(k)!r} != {have.get(k)!r}" for k in sorted(want.keys() | have.keys()) if want.get(k) != have.get(k)]

@@ -10,7 +10,7 @@ import pytest
 from plumbline.operators.aggregates import conflicts, fixed_counts, group_statistics, listed_counts, state_rollup, summary_rows, top_and_rest, with_statistics
 from plumbline.operators.conditions import classify, combined, outcome, term_match
 from plumbline.operators.graph import connected_components, reachable
-from plumbline.operators.joins import asof_join, containment_pairs, last_before, match_identifiers, most_specific_rule, planned_gaps, unidentified
+from plumbline.operators.joins import asof_join, associate, containment_pairs, last_before, match_identifiers, most_specific_rule, planned_gaps, unidentified
 from plumbline.operators.pairing import item_changes, severity
 from plumbline.operators.sets import first_occurrences, insert_if_absent, missing_elements, multiset_difference, multiset_equal, union_with_provenance, upsert
 from plumbline.operators.versions import first_per_key, latest_per_key
@@ -202,3 +202,10 @@ def test_item_changes_flags(spark):
     new = spark.createDataFrame([("s", "a", "X 1", "1"), ("s", "b", "B 2", "2"), ("t", "n", "N", "1")], shape)
     got = item_changes(old, new, ["scope"], "id", F.col("body"), name_only=F.col("rest"), complete=F.col("scope") == "s", first=F.col("scope") == "t")
     assert [(r.identity, r.status) for r in got.orderBy(severity(F.col("status"))).collect()] == [("g", "removed_candidate"), ("b", "changed"), ("a", "conditions_changed"), ("n", "baseline")]
+
+
+def test_association(spark):
+    left = spark.createDataFrame([(1, "u", "a", {"size": "m"}), (2, "u", "b", None), (3, "u", "c", {"size": "m"}), (4, None, "a", None), (5, "u", "z", {})], "i int, url string, name string, v map<string,string>")
+    right = spark.createDataFrame([("r1", "u", "a", {"size": "m", "x": "1"}), ("r2", "u", "a", {"size": "l"}), ("r3", "u", "b", {"size": "s"}), ("r4", "u", "b", None), ("r5", "u", "c", {"size": "l"}), ("r6", None, "a", None)], "r string, url string, name string, v map<string,string>")
+    got = rows(associate(left, right, ["url", "name"], "i", "r", "v"))
+    assert got == [(1, "r1", "linked"), (2, None, "ambiguous"), (3, None, "unmatched"), (4, None, "unmatched"), (5, None, "unmatched")]

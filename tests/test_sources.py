@@ -4,9 +4,9 @@ import json
 
 import pytest
 from plumbline.sources.html import grid, matches, parse, select, value
-from plumbline.sources.pages import css_rows, embedded_records, json_ld, links, microdata, repeated_cards, snapshots, table_cells
+from plumbline.sources.pages import css_rows, embedded_records, frontier, json_ld, links, microdata, pagination_links, pattern_rows, price_lines, repeated_cards, snapshots, table_cells
 from plumbline.sources.records import read_csv, read_json, read_xlsx, url_list, xlsx_rows
-from plumbline.sources.sinks import content_store, replace_keys, workbook, write_checked, write_store
+from plumbline.sources.sinks import content_store, dashboard, read_back, replace_keys, workbook, write_checked, write_store
 
 from tests.conftest import rows
 
@@ -92,3 +92,24 @@ def test_sinks(spark, tmp_path):
     replace_keys(spark.createDataFrame([("b", 2)], "k string, v int"), table, "k")
     assert rows(spark.read.parquet(table).select("k", "v")) == [("a", 1), ("b", 2)]
     assert write_checked(spark.createDataFrame([("b", 2), ("b", 2)], "k string, v int"), str(tmp_path / "out")).count() == 2
+
+
+def test_further_scans(spark):
+    page = """<p>Plan A : 13,500원</p><p>Plan B: $20</p><p>Free: 0원</p><div class="pagination"><a href="?p=2">2</a><a href="/x">About</a></div><a rel="next" href="?p=3#f">more</a><a href="?p=4">다음</a>"""
+    df = spark.createDataFrame([("a", "https://a.example/l", page.encode(), None), ("b", "https://b.example/", b"<p>Only: 5 EUR</p>", None)], "capture_id string, url string, content binary, media_type string")
+    assert [(r.label, r.amount, r.marker) for r in price_lines(df).collect()] == [("Plan A", "13500", "원"), ("Plan B", "20", "$")]
+    assert [r.link for r in pagination_links(df).collect()] == ["https://a.example/l?p=2", "https://a.example/l?p=3", "https://a.example/l?p=4"]
+    texts = spark.createDataFrame([("x", "A-1 12\nnone\nB-2 7"), ("y", " "), ("z", None), ("w", "none")], "k string, t string")
+    got = rows(pattern_rows(texts, "t", r"(?P<model>[A-Z]-\d) (?P<price>\d+)", ("k",)))
+    assert got == [("x", 1, {"model": "A-1", "price": "12"}), ("x", 3, {"model": "B-2", "price": "7"}), ("y", None, None), ("z", None, None)]
+    found = spark.createDataFrame([("p", 2, "b"), ("p", 1, "z"), ("p", 1, "a"), ("q", 1, "c")], "page string, prio int, link string")
+    assert rows(frontier(found, "prio", "link", "page", 2).select("page", "link", "place", "truncated")) == [("p", "a", 1, True), ("p", "z", 2, True), ("q", "c", 1, False)]
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("<a>", 1), (None, 2)], "k string, n int")
+    shown = dashboard("T & U", {"counts": df}, most=1)
+    assert "&lt;a&gt;" in shown and "T &amp; U" in shown and "Only the first 1 rows" in shown
+    sheets = {"S": (["k", "n"], [["a", 1], [None, 2.5], ["x\x00", "7"]])}
+    assert read_back(workbook(sheets), sheets) == []
+    assert read_back(workbook(sheets), {"S": (["k", "n"], [["a", 1], [None, 2.5], ["y", "7"]])}) == ["S!A4: 'y' != 'x_x0000_'"]
