@@ -6,6 +6,9 @@ mostly have the same minimum, so a text keeps about ``2 / (span - shingle + 2)``
 equal paragraphs have equal shingles and collide with certainty, wherever they begin: the recall of candidates is 1, which
 bands over paragraphs parted at line breaks cannot give for a span that crosses a break or is a part of a paragraph.
 Colliding texts are joined and verified exactly, and clustered by components.
+
+A signature of very many texts would join all of them, though they may share no more than a shingle. Such a signature is
+refined into the paragraphs around it, which are joined themselves, each pair of texts at the first one they share.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from plumbline.session import broadcast_if_small, cut_lineage
 SPAN = 300
 #: Code points of a shingle. Texts are candidates if they share one that is least in its paragraph.
 SHINGLE = 200
+#: A signature of more texts than this is refined, so that no bucket costs more than this many pairs for each of its texts.
+HOT = 128
 #: Up to so many candidate texts their ids are broadcast to the scan that fetches their texts; beyond, it is a join.
 FETCH_IDS = 200_000
 
@@ -89,6 +94,33 @@ def signatures(text: str, span: int = SPAN, shingle: int = SHINGLE) -> np.ndarra
     return np.unique(sliding_minimum(window_hashes(points, shingle), span - shingle + 1)).view(np.int64)
 
 
+def paragraphs_around(text: str, wanted: np.ndarray, span: int = SPAN, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the paragraphs of a text that hold one of the wanted shingles, and for each what follows the stretch that
+    the paragraph before it in the list would need: -1 if the paragraph is the first that two texts can share.
+
+    Around a shingle the paragraphs are taken from the one that reaches farthest to the right to the one that reaches
+    farthest to the left. Two texts that share one also share the one before it if the same code point follows; so they
+    meet first where different ones follow, or at a paragraph that has none before it: the first of all, or the first that
+    fits into the text. Each is given once.
+    """
+    points = code_points(text)
+    grams, whole = window_hashes(points, shingle), window_hashes(points, span)
+    most = span - shingle
+    rows: set[tuple[int, int]] = set()
+    for at in np.flatnonzero(np.isin(grams.view(np.int64), wanted)).tolist():
+        for back in range(most + 1):
+            start = at - back
+            if start < 0:
+                break
+            if start >= len(whole):
+                continue
+            end = start + span
+            follows = int(points[end]) if back and end < len(points) else -1
+            rows.add((int(whole[start]), follows))
+    keys = np.array([k for k, _ in rows], np.uint64).view(np.int64)
+    return keys, np.array([f for _, f in rows], np.int32)
+
+
 def shared_spans(a: str, b: str, span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """The parts of ``a`` and of ``b`` covered by spans of ``span`` or more code points that occur verbatim in both.
 
@@ -168,12 +200,18 @@ class SharedSpans:
         self.classes = cut_lineage(text_classes(documents, id_col=id_col, text_col=text_col, span=span, shingle=shingle))
         bands = self.classes.select("rep", F.explode("sigs").alias("sig"))
         # Signatures of one text only can't collide; most are, and leave here before any join.
-        several = bands.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sig")
-        met = bands.join(several, "sig")
-        pairs = cut_lineage(
-            met.select("sig", F.col("rep").alias("a")).join(met.select("sig", F.col("rep").alias("b")), "sig")
-            .where(F.col("a") < F.col("b")).select("a", "b").distinct()
+        counts = bands.groupBy("sig").agg(F.count("*").alias("texts")).where("texts > 1")
+        met = bands.join(counts, "sig")
+        few = met.where(F.col("texts") <= HOT)
+        colliding = (
+            few.select("sig", F.col("rep").alias("a")).join(few.select("sig", F.col("rep").alias("b")), "sig")
+            .where(F.col("a") < F.col("b")).select("a", "b")
         )
+        hot = met.where(F.col("texts") > HOT).groupBy("rep").agg(F.collect_list("sig").alias("sigs"))
+        hot = cut_lineage(hot)  # as many signatures as a text has, at most
+        if hot.limit(1).count():
+            colliding = colliding.unionByName(self._refined(hot, shingle))
+        pairs = cut_lineage(colliding.distinct())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = cut_lineage(_fetch(documents, ids, id_col, text_col))
         spans = "array<struct<s:int,e:int>>"
@@ -200,6 +238,34 @@ class SharedSpans:
         )
         self.links = with_texts.mapInArrow(verify, f"a {kind}, b {kind}, in_a {spans}, in_b {spans}")
 
+    def _refined(self, hot: DataFrame, shingle: int) -> DataFrame:
+        """``a, b``: texts with hot signatures that share a paragraph around one, each pair once for a place.
+
+        Members of a paragraph that the same code point follows met at the paragraph before and are not paired again: only
+        those are that differ, class by class, and those for which there is none before.
+        """
+        kind = self.documents.schema[self.id_col].dataType.simpleString()
+        span = self.span
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    keys, follows = paragraphs_around(batch.column(1)[k].as_py(), np.array(batch.column(2)[k].as_py(), np.int64), span, shingle)
+                    rep = batch.column(0).take(pa.array(np.full(len(keys), k)))
+                    yield pa.RecordBatch.from_arrays([rep, pa.array(keys), pa.array(follows)], ["rep", "key", "follows"])
+
+        texts = _fetch(self.documents, hot.select(F.col("rep").alias("id")), self.id_col, self.text_col)
+        given = texts.join(hot, texts["id"] == hot["rep"]).select("rep", "text", "sigs")
+        rows = cut_lineage(given.mapInArrow(spread, f"rep {kind}, key bigint, follows int"))
+        classes = rows.select("key", "follows").distinct()
+        ties = classes.select("key", F.col("follows").alias("fa")).join(classes.select("key", F.col("follows").alias("fb")), "key").where(
+            (F.col("fa") < F.col("fb")) | (F.col("fa") == -1) & (F.col("fb") == -1)
+        )
+        both = ties.join(rows.select("key", F.col("follows").alias("fa"), F.col("rep").alias("a")), ["key", "fa"]).join(
+            rows.select("key", F.col("follows").alias("fb"), F.col("rep").alias("b")), ["key", "fb"]
+        )
+        return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     def members(self) -> DataFrame:
         """``rep, id``: the class of every document of at least ``span`` code points."""
         ids = self.documents.select(F.col(self.id_col).alias("id"), F.col(self.text_col).cast("string").alias("text")).where(

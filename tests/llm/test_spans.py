@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from plumbline.llm.spans import SharedSpans, shared_spans, signatures, sliding_minimum, window_hashes
+from plumbline.llm.spans import SharedSpans, code_points, paragraphs_around, shared_spans, signatures, sliding_minimum, window_hashes
 
 from tests.conftest import rows
 
@@ -100,3 +100,38 @@ def test_spans_of_one_pair():
     a, b = "xx" + "p" * 9 + "Q1Q2" * 5 + "yy" + "R3R4" * 5, "Q1Q2" * 5 + "--" + "R3R4" * 5
     in_a, in_b = shared_spans(a, b, 12)
     assert in_a == [(11, 31), (33, 53)] and in_b == [(0, 20), (22, 42)] and shared_spans("abc", "abd", 3) == ([], [])
+
+
+def test_hot_signatures_are_refined(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.spans.HOT", 2)
+    span, rng = 30, random.Random(8)
+    for _ in range(2):
+        texts = random_texts(rng, 40, span)
+        found = SharedSpans(frame(spark, texts), span=span, shingle=20)
+        pairs, shared = brute(texts, span)
+        assert set(rows(found.pairs())) == pairs and len(pairs) > 30
+        assert {r.doc_id: r.shared_chars for r in found.shares().collect()} == shared
+
+
+def test_boilerplate_shorter_than_a_span_costs_no_pairs(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefghij 가나다") for _ in range(280))
+    letters = "klmnopqrstuvwxyz라마바"
+    other = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [other(150) + line + other(150) for _ in range(400)]
+    texts[7] = texts[3][100:460] + other(40)
+    found = SharedSpans(frame(spark, texts))
+    assert rows(found.pairs()) == [(3, 7)]
+
+
+def test_paragraphs_meet_once():
+    rng = random.Random(10)
+    for _ in range(300):
+        core = "".join(rng.choice("ab") for _ in range(rng.randrange(5, 14)))
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(6))) + core + "".join(rng.choice("ab") for _ in range(rng.randrange(6))) for _ in range(2))
+        for gram in {a[i : i + 5] for i in range(len(a) - 4)} & {b[i : i + 5] for i in range(len(b) - 4)}:
+            wanted = window_hashes(code_points(gram), 5).view(np.int64)
+            rows_a, rows_b = (set(zip(*(x.tolist() for x in paragraphs_around(t, wanted, 8, 5)), strict=True)) for t in (a, b))
+            meet = any(ka == kb and (fa != fb or fa == -1) for ka, fa in rows_a for kb, fb in rows_b)
+            share = any(gram in a[i : i + 8] and a[i : i + 8] in b for i in range(len(a) - 7))
+            assert meet == share, (a, b, gram)
