@@ -13,7 +13,7 @@ MAX_URL = 2048
 _PORTS = {"http": 80, "https": 443}
 _LABEL = re.compile(r"(?!-)[a-z0-9-]+(?<!-)")
 # Query keys that name an item, in the order in which they are looked for.
-ITEM_KEYS = "product_no productno product_id productid goods_no goodsno item_id itemid item_no itemno sku pid gid id no idx".split()
+ITEM_KEYS = "product_no productno goods_no goodsno goodscd item_id itemid product_id productid prdno pid gno idx no id sku".split()
 
 
 def canonical_url(url: str | None) -> str | None:
