@@ -15,7 +15,7 @@ from plumbline.functions.units import alias_dictionary
 from plumbline.operators.versions import latest_per_key
 from plumbline.session import broadcast_if_small, cut_lineage
 
-_NUMBER = r"\d[\d.,'  ]*"
+_NUMBER = r"\d[\d.,' \u00a0\u202f]*"
 #: number x number unit x number; the unit is text without digits.
 _QUANTITY = rf"^\s*(?:({_NUMBER})\s*[xX×*]\s*)?({_NUMBER})?\s*(\D*?)\s*(?:[xX×*]\s*({_NUMBER}))?\s*$"
 #: currency number scale basis
@@ -37,47 +37,56 @@ def parse_number(text: Column, separator: Column) -> Column:
 
     Null for text that is no such number (``1.2.3`` with ``.``), and for null; a null separator is ``.``.
     """
-    bare = F.regexp_replace(text, "['  ]", "")
+    bare = F.translate(text, "' \u00a0\u202f", "")
     plain = F.when(separator == ",", F.translate(F.translate(bare, ".", ""), ",", ".")).otherwise(F.translate(bare, ",", ""))
     return plain.try_cast("double")
 
 
-def _quantity(text: Column, separator: Column, prefix: str) -> list[Column]:
-    """Columns ``<prefix>_n`` (product of the numbers, null if there are none or one can't be read), ``<prefix>_has``
-    (whether there are numbers) and ``<prefix>_u`` (spelling of the unit, null if there is none)."""
-    numbers = [F.nullif(F.regexp_extract(text, _QUANTITY, g), F.lit("")) for g in (1, 2, 4)]
-    spelling = F.nullif(F.regexp_extract(text, _QUANTITY, 3), F.lit(""))
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that matches the whole text, as an array, from one match; null if it doesn't match."""
+    parts = F.split(F.regexp_replace(text, pattern, "\x01".join(f"${g}" for g in range(1, n + 1))), "\x01")
+    return F.when(F.size(parts) == n, parts)
+
+
+def _group(parts: str, g: int) -> Column:
+    return F.nullif(F.col(parts)[g - 1], F.lit(""))
+
+
+def _quantity(parts: str, separator: Column, prefix: str) -> list[Column]:
+    """Columns ``<prefix>_n`` (product of the numbers, null if one can't be read), ``<prefix>_has`` (whether there are
+    numbers) and ``<prefix>_u`` (spelling of the unit, null if there is none) of the groups of a quantity."""
+    numbers = [_group(parts, g) for g in (1, 2, 4)]
     parsed = [F.when(n.isNull(), F.lit(1.0)).otherwise(parse_number(n, separator)) for n in numbers]
-    has = numbers[0].isNotNull() | numbers[1].isNotNull()
     return [
         reduce(lambda a, b: a * b, parsed).alias(f"{prefix}_n"),
-        F.coalesce(has, F.lit(False)).alias(f"{prefix}_has"),
-        F.when(spelling == "-", None).otherwise(spelling).alias(f"{prefix}_u"),
+        (numbers[0].isNotNull() | numbers[1].isNotNull()).alias(f"{prefix}_has"),
+        F.nullif(_group(parts, 3), F.lit("-")).alias(f"{prefix}_u"),
     ]
 
 
 def read_offers(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """The parts of the texts of catalog rows, unit spellings as written. A source without a row writes ``.``."""
+    """The parts of the texts of catalog rows, unit spellings as written. A source without a row writes ``.``.
+
+    Every text is matched once; what follows works on its parts.
+    """
     separators = sources.groupBy("source_id").agg(F.max("decimal_separator").alias("__sep"))
     df = rows.select(
         "row_id", "source_id", "model", "currency", "ingested_at", "unit", "pack_quantity", "price", "price_basis"
     ).join(broadcast_if_small(separators, "source_id"), "source_id", "left")
+    keep = ["row_id", "ingested_at", "model", "currency", "__sep"]
+    matched = df.select(
+        *keep, "price_basis", _groups(F.col("unit"), _QUANTITY, 4).alias("unit"), _groups(F.col("pack_quantity"), _QUANTITY, 4).alias("pack"),
+        _groups(F.col("price"), _PRICE, 3).alias("price"),
+    )
+    basis = F.regexp_extract(F.coalesce(_group("price", 3), "price_basis"), _BASIS, 1)
+    based = matched.select(*keep, "unit", "pack", "price", basis.alias("stated")).select("*", _groups(F.col("stated"), _QUANTITY, 4).alias("basis"))
     sep = F.coalesce("__sep", F.lit("."))
-    price = F.col("price")
-    scale = F.regexp_replace(F.regexp_extract(price, _PRICE, 2), r"\s", "")
+    scale = F.translate(_group("price", 2), " \t", "")
     worth = reduce(lambda e, kv: e.when(scale == kv[0], F.lit(kv[1])), SCALES.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(1.0))
-    stated = F.nullif(F.regexp_extract(price, _PRICE, 3), F.lit(""))
-    basis = F.regexp_extract(F.coalesce(stated, "price_basis"), _BASIS, 1)
-    return df.select(
-        "row_id",
-        "ingested_at",
-        "model",
-        "currency",
-        *_quantity(F.col("unit"), sep, "unit"),
-        *_quantity(F.col("pack_quantity"), sep, "pack"),
-        *_quantity(basis, sep, "basis"),
-        (parse_number(F.nullif(F.regexp_extract(price, _PRICE, 1), F.lit("")), sep) * worth).alias("amount"),
-    )
+    return based.select(
+        *keep[:-1], *_quantity("unit", sep, "unit"), *_quantity("pack", sep, "pack"), *_quantity("basis", sep, "basis"),
+        (parse_number(_group("price", 1), sep) * worth).alias("amount"),
+    )
 
 
 def normalize_offers(rows: DataFrame, sources: DataFrame) -> DataFrame:

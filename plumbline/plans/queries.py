@@ -50,7 +50,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- units and snapshots
 
 
-_NUM = r"\d[\d.,'  ]*"
+_NUM = r"\d[\d.,' \x{a0}\x{202f}]*"
 
 
 def _sql_quantity(text: str, name: str) -> str:
@@ -62,7 +62,7 @@ def _sql_quantity(text: str, name: str) -> str:
 
 
 def _sql_number(text: str) -> str:
-    bare = f"regexp_replace({text}, '[''  ]', '', 'g')"
+    bare = f"regexp_replace({text}, '['' \\x{{a0}}\\x{{202f}}]', '', 'g')"
     return f"try_cast(CASE WHEN sep = ',' THEN replace(replace({bare}, '.', ''), ',', '.') ELSE replace({bare}, ',', '') END AS DOUBLE)"
 
 
