@@ -25,7 +25,7 @@ from plumbline.operators.snapshots import refresh_changes
 from plumbline.operators.versions import latest_per_key
 from plumbline.operators.windows import batch_slices, deterministic_sample, occurrence_suffix, page, previous_value
 from plumbline.session import broadcast_if_small
-from plumbline.sources.pages import css_rows, links, price_lines, repeated_cards, snapshots
+from plumbline.sources.pages import css_rows, generic_records, links, price_lines, repeated_cards, snapshots
 from plumbline.sources.records import url_list
 from plumbline.sources.sinks import content_store
 from plumbline.sources.tables import table
@@ -703,6 +703,12 @@ def page_price_lines(spark: SparkSession, folder: str) -> DataFrame:
     return price_lines(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
 
 
+@query()
+def page_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of every page by the generic chain of scans."""
+    return generic_records(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
+
+
 @query()
 def page_cards(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_cards(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))

@@ -105,59 +105,61 @@ def _types(record: dict) -> set[str]:
     return {str(k).rsplit("/", 1)[-1] for k in (kinds if isinstance(kinds, list) else [kinds])}
 
 
+def _find_json_ld(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
+    out = []
+    for node in select(parse(text), "script[type=application/ld+json]"):
+        try:
+            data = json.loads(node.raw_text(), parse_float=str, parse_int=str)
+        except ValueError:
+            continue
+        for record in _walk(data):
+            if not _types(record) & {"Product", "ProductModel", "IndividualProduct"}:
+                continue
+            name, sku = _scalar(record.get("name")), _scalar(record.get("sku") or record.get("mpn"))
+            offers = record.get("offers") or []
+            rows = []
+            for offer in offers if isinstance(offers, list) else [offers]:
+                if not isinstance(offer, dict):
+                    continue
+                stock = _scalar(offer.get("availability"))
+                specs = offer.get("priceSpecification") or []
+                for spec in (specs if isinstance(specs, list) else [specs]) or [offer]:
+                    if isinstance(spec, dict):
+                        currency = _scalar(spec.get("priceCurrency")) or _scalar(offer.get("priceCurrency"))
+                        rows.append((name, sku, _scalar(spec.get("price")), _scalar(spec.get("lowPrice")), _scalar(spec.get("highPrice")), currency, stock))
+            out += rows or [(name, sku, None, None, None, None, None)]
+    return out
+
+
 def json_ld(captures: DataFrame) -> DataFrame:
     """``name, sku, price, low, high, currency, availability``: every offer of every product in a page's JSON-LD.
 
     A product's offers, their price specifications and a range (AggregateOffer) are rows; a product without any is a row
     without a price. Numbers are kept as they are written. Blocks that are no JSON are left out.
     """
-    def find(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
-        out = []
-        for node in select(parse(text), "script[type=application/ld+json]"):
-            try:
-                data = json.loads(node.raw_text(), parse_float=str, parse_int=str)
-            except ValueError:
-                continue
-            for record in _walk(data):
-                if not _types(record) & {"Product", "ProductModel", "IndividualProduct"}:
-                    continue
-                name, sku = _scalar(record.get("name")), _scalar(record.get("sku") or record.get("mpn"))
-                offers = record.get("offers") or []
-                rows = []
-                for offer in offers if isinstance(offers, list) else [offers]:
-                    if not isinstance(offer, dict):
-                        continue
-                    stock = _scalar(offer.get("availability"))
-                    specs = offer.get("priceSpecification") or []
-                    for spec in (specs if isinstance(specs, list) else [specs]) or [offer]:
-                        if isinstance(spec, dict):
-                            currency = _scalar(spec.get("priceCurrency")) or _scalar(offer.get("priceCurrency"))
-                            rows.append((name, sku, _scalar(spec.get("price")), _scalar(spec.get("lowPrice")), _scalar(spec.get("highPrice")), currency, stock))
-                out += rows or [(name, sku, None, None, None, None, None)]
-        return out
-
-    return scan(captures, find, "name:string,sku:string,price:string,low:string,high:string,currency:string,availability:string")
+    return scan(captures, _find_json_ld, "name:string,sku:string,price:string,low:string,high:string,currency:string,availability:string")
+
+
+def _find_microdata(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
+    out = []
+    for item in select(parse(text), "[itemscope]"):
+        got: dict[str, str] = {}
+        stack = [c for c in reversed(item.children) if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            name = node.attrs.get("itemprop")
+            if name and "itemscope" not in node.attrs:
+                got.setdefault(name, node.attrs.get("content") or node.attrs.get("href") or node.attrs.get("src") or node.text())
+            if "itemscope" not in node.attrs:
+                stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        if got:
+            out.append((item.attrs.get("itemtype", ""), got))
+    return out
 
 
 def microdata(captures: DataFrame) -> DataFrame:
     """``properties``: each item marked up with ``itemscope``, its own properties; values are ``content``, links or text."""
-    def find(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
-        out = []
-        for item in select(parse(text), "[itemscope]"):
-            got: dict[str, str] = {}
-            stack = [c for c in reversed(item.children) if isinstance(c, Node)]
-            while stack:
-                node = stack.pop()
-                name = node.attrs.get("itemprop")
-                if name and "itemscope" not in node.attrs:
-                    got.setdefault(name, node.attrs.get("content") or node.attrs.get("href") or node.attrs.get("src") or node.text())
-                if "itemscope" not in node.attrs:
-                    stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-            if got:
-                out.append((item.attrs.get("itemtype", ""), got))
-        return out
-
-    return scan(captures, find, "type:string,properties:map<string,string>")
+    return scan(captures, _find_microdata, "type:string,properties:map<string,string>")
 
 
 def embedded_records(captures: DataFrame, name_keys: tuple[str, ...] = ("name", "title"), value_keys: tuple[str, ...] = ("price", "amount")) -> DataFrame:
@@ -246,22 +248,23 @@ def pattern_rows(pages: DataFrame, text: str, pattern: str, keep: tuple[str, ...
     return pages.select(*keep, F.inline(found))
 
 
-def price_lines(captures: DataFrame, least: int = 2) -> DataFrame:
-    """``label, amount, marker``: lines of a page that are a label and one amount ("Plan A : 13,500원"), on pages with at least
-    ``least`` labels. Amounts of zero are left out."""
+def _find_price_lines(text: str, url: str | None, least: int = 2) -> list[tuple]:  # noqa: ARG001
     from plumbline.functions.amounts import marked_amounts
 
-    def find(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
-        out = []
-        for line in re.sub(r"<br\s*/?>|</(?:p|div|li|tr|h\d)>", "\n", text).split("\n"):
-            shown = parse(line).text()
-            label, colon, rest = shown.partition(":") if ":" in shown else shown.partition("：")
-            found = marked_amounts(rest) if colon else []
-            if len(found) == 1 and label.strip() and found[0].value != "0":
-                out.append((label.strip(), found[0].value, found[0].marker))
-        return out if len({label for label, _, _ in out}) >= least else []
+    out = []
+    for line in re.sub(r"<br\s*/?>|</(?:p|div|li|tr|h\d)>", "\n", text).split("\n"):
+        shown = parse(line).text()
+        label, colon, rest = shown.partition(":") if ":" in shown else shown.partition("：")
+        found = marked_amounts(rest) if colon else []
+        if len(found) == 1 and label.strip() and found[0].value != "0":
+            out.append((label.strip(), found[0].value, found[0].marker))
+    return out if len({label for label, _, _ in out}) >= least else []
 
-    return scan(captures, find, "label:string,amount:string,marker:string")
+
+def price_lines(captures: DataFrame, least: int = 2) -> DataFrame:
+    """``label, amount, marker``: lines of a page that are a label and one amount ("Plan A : 13,500원"), on pages with at least
+    ``least`` labels. Amounts of zero are left out."""
+    return scan(captures, lambda text, url: _find_price_lines(text, url, least), "label:string,amount:string,marker:string")
 
 
 #: Texts of links that lead to the next page of a listing.
@@ -297,3 +300,83 @@ def frontier(found: DataFrame, priority: str, order: str, group: str, limit: int
     w = Window.partitionBy(group)
     ranked = found.withColumns({"place": F.row_number().over(w.orderBy(priority, order)), "truncated": F.count("*").over(w) > limit})
     return ranked.where(F.col("place") <= limit)
+
+
+def _card_rows(text: str) -> list[tuple[str, str, str | None]]:
+    """Name, amount and marker of the cards of the largest repeated group that has one amount in most of its cards."""
+    from plumbline.functions.amounts import marked_amounts
+
+    groups: dict[tuple, list[Node]] = {}
+    for node in parse(text).elements():
+        if node.parent is not None and node.tag in ("li", "div", "article", "tr", "a", "section") and node.shown():
+            groups.setdefault((id(node.parent), node.tag, " ".join(sorted(node.classes()))), []).append(node)
+    for cards in sorted(groups.values(), key=len, reverse=True):
+        if len(cards) < 3:
+            break
+        rows = []
+        for card in cards:
+            shown = card.text()
+            found = marked_amounts(shown)
+            name = value(card, "h2, h3, h4, strong, a, b") or (shown[: found[0].start].strip() if found else None)
+            if len(found) == 1 and name:
+                rows.append((name, found[0].value, found[0].marker))
+        if len(rows) >= 0.8 * len(cards):
+            return rows
+    return []
+
+
+def _single_row(text: str) -> list[tuple[str, str | None, str | None]]:
+    """The page's heading with its one marked amount; the heading alone if there is none or several."""
+    from plumbline.functions.amounts import marked_amounts
+
+    tree = parse(text)
+    name = value(tree, "h1")
+    if not name:
+        return []
+    prices = [n for n in select(tree, "[class*=price], [itemprop=price]") if n.shown()]
+    found = {(f.value, f.marker) for n in prices for f in marked_amounts(n.text())}
+    only = found.pop() if len(found) == 1 else (None, None)
+    return [(name, *only)]
+
+
+def generic_records(captures: DataFrame) -> DataFrame:
+    """``method, name, amount, currency``: the records of any page, by the first of these that finds one: structured data
+    (``json_ld``, ``microdata``), repeated ``cards``, ``price_lines``, a ``single`` product.
+
+    A single product without one clear amount is a row with a null amount: a gap that is told.
+    """
+    def chain(text: str, url: str | None) -> list[tuple]:
+        found = [("json_ld", n or "", p or low, c) for n, _, p, low, _, c, _ in _find_json_ld(text, url) if p or low]
+        if not found:
+            items = [props for _, props in _find_microdata(text, url)]
+            found = [("microdata", i["name"], i["price"], i.get("priceCurrency")) for i in items if i.get("name") and i.get("price")]
+        if not found:
+            found = [("cards", *row) for row in _card_rows(text)]
+        if not found:
+            found = [("price_lines", *row) for row in _find_price_lines(text, url)]
+        return found or [("single", *row) for row in _single_row(text)]
+
+    return scan(captures, chain, "method:string,name:string,amount:string,currency:string")
+
+
+#: The scans that a source may name; a closed list.
+ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "generic": generic_records, "json_ld": json_ld, "microdata": microdata, "embedded": embedded_records, "cards": repeated_cards,
+    "price_lines": price_lines, "tables": table_cells, "links": links,
+}
+
+
+def by_adapter(captures: DataFrame, hosts: Mapping[str, str], default: str = "generic") -> dict[str, DataFrame]:
+    """For each adapter the result of its scan over the captures of its hosts; other hosts go to ``default``."""
+    unknown = set(hosts.values()) - ADAPTERS.keys()
+    if unknown or default not in ADAPTERS:
+        raise ValueError(f"no such adapter: {', '.join(sorted(unknown)) or default}")
+    at = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1))
+    out = {}
+    for name in dict.fromkeys([*hosts.values(), default]):
+        mine = [h for h, a in hosts.items() if a == name]
+        test = at.isin(mine) if mine else F.lit(False)
+        if name == default:
+            test = test | ~at.isin(list(hosts)) if hosts else F.lit(True)
+        out[name] = ADAPTERS[name](captures.where(test))
+    return out

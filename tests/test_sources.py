@@ -4,7 +4,7 @@ import json
 
 import pytest
 from plumbline.sources.html import grid, matches, parse, select, value
-from plumbline.sources.pages import css_rows, embedded_records, frontier, json_ld, links, microdata, pagination_links, pattern_rows, price_lines, repeated_cards, snapshots, table_cells
+from plumbline.sources.pages import by_adapter, css_rows, embedded_records, frontier, generic_records, json_ld, links, microdata, pagination_links, pattern_rows, price_lines, repeated_cards, snapshots, table_cells
 from plumbline.sources.records import read_csv, read_json, read_xlsx, url_list, xlsx_rows
 from plumbline.sources.sinks import content_store, dashboard, read_back, replace_keys, workbook, write_checked, write_store
 
@@ -113,3 +113,21 @@ def test_reports(spark):
     sheets = {"S": (["k", "n"], [["a", 1], [None, 2.5], ["x\x00", "7"]])}
     assert read_back(workbook(sheets), sheets) == []
     assert read_back(workbook(sheets), {"S": (["k", "n"], [["a", 1], [None, 2.5], ["y", "7"]])}) == ["S!A4: 'y' != 'x_x0000_'"]
+
+
+def test_generic_chain_and_adapters(spark):
+    cards = "<ul>" + "".join(f'<li class="c"><a href="/{i}">Item {i}</a> <b>{i}0원</b></li>' for i in range(1, 5)) + "</ul><h1>List</h1>"
+    pages = {
+        "ld": PAGE, "micro": '<div itemscope><b itemprop="name">Pump</b><i itemprop="price" content="9.50"></i></div>' + cards, "cards": cards,
+        "lines": "<h1>Plans</h1><p>A: 10원</p><p>B: 20원</p>", "one": '<h1>Reel</h1><span class="price">5 EUR</span>', "gap": '<h1>Reel</h1><span class="price">5 EUR or 6 EUR</span>', "none": "<p>hi</p>",
+    }
+    df = spark.createDataFrame([(k, f"https://{k}.example/", v.encode(), None) for k, v in pages.items()], "capture_id string, url string, content binary, media_type string")
+    got = [(r.capture_id, r.method, r.name, r.amount) for r in generic_records(df).orderBy("capture_id", "position").collect()]
+    assert got == [
+        ("cards", "cards", "Item 1", "10"), ("cards", "cards", "Item 2", "20"), ("cards", "cards", "Item 3", "30"), ("cards", "cards", "Item 4", "40"), ("gap", "single", "Reel", None),
+        ("ld", "json_ld", "Reel", "1.50"), ("ld", "json_ld", "Reel", "1"), ("lines", "price_lines", "A", "10"), ("lines", "price_lines", "B", "20"), ("micro", "microdata", "Pump", "9.50"), ("one", "single", "Reel", "5"),
+    ]
+    parts = by_adapter(df, {"cards.example": "links", "lines.example": "price_lines"})
+    assert {k: v.count() for k, v in parts.items()} == {"links": 4, "price_lines": 2, "generic": 5}
+    with pytest.raises(ValueError, match="no such adapter: nope"):
+        by_adapter(df, {"a": "nope"})
