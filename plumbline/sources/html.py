@@ -88,8 +88,9 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
+@lru_cache(maxsize=1)
 def parse(page: str) -> Node:
-    """The tree of a page; anything is a page."""
+    """The tree of a page; anything is a page. The last one is kept for the next scan of the same page; don't change it."""
     builder = _Builder()
     builder.feed(page)
     builder.close()

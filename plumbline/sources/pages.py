@@ -5,6 +5,7 @@ Every scan parses a page once, in an Arrow UDF that returns an array of records;
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from collections.abc import Callable, Iterator, Mapping
@@ -253,7 +254,9 @@ def _find_price_lines(text: str, url: str | None, least: int = 2) -> list[tuple]
 
     out = []
     for line in re.sub(r"<br\s*/?>|</(?:p|div|li|tr|h\d)>", "\n", text).split("\n"):
-        shown = parse(line).text()
+        if ":" not in line and "：" not in line:
+            continue
+        shown = " ".join(html.unescape(re.sub(r"<[^>]*>", "", line)).split())
         label, colon, rest = shown.partition(":") if ":" in shown else shown.partition("：")
         found = marked_amounts(rest) if colon else []
         if len(found) == 1 and label.strip() and found[0].value != "0":
