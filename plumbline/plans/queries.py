@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.amounts import only_amount_column, strict_amount
 from plumbline.functions.hashing import canonical_map, stable_id
 from plumbline.functions.media import bare_media_type
+from plumbline.functions.terms import term_months
 from plumbline.functions.text import comparable_column
 from plumbline.functions.times import freshness
 from plumbline.functions.units import UNITS, fold_spelling
@@ -610,6 +611,18 @@ def only_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", only_amount_column(F.col("text")).alias("a")).select("doc_id", "a.value", "a.reason")
 
 
+@query(
+    r"""WITH d AS (SELECT doc_id, text,
+      list_transform(regexp_extract_all(text, '(^|[^\d~∼〜–-])(\d{1,3})\s?-?(개월|months?\b|mois\b|Monate?n?\b|か月|ヶ月)', 2), lambda x: CAST(x AS INTEGER)) AS m,
+      list_transform(regexp_extract_all(text, '(^|[^\d~∼〜–-])(\d{1,2})\s?-?(년|years?\b|ans?\b|Jahre?n?\b|年間)', 2), lambda x: CAST(x AS INTEGER) * 12) AS y FROM documents)
+    SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\d\s?[~∼〜–-]\s?\d{1,3}\s?(개월|months?\b|mois\b|Monate?n?\b|か月|ヶ月|년|years?\b|ans?\b|Jahre?n?\b|年間)')
+      AND len(list_distinct(list_concat(m, y))) = 1 THEN list_distinct(list_concat(m, y))[1] END AS months FROM d"""
+)
+def document_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract term of each document that names one."""
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", term_months(F.col("text")).alias("months"))
+
+
 @query()
 def comparable_names(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "products", "product_id", "name")

@@ -7,6 +7,7 @@ from datetime import datetime
 from plumbline.functions.amounts import amounts_column, currencies, marked_amounts, only_amount, only_amount_column, positive_quantity, strict_amount
 from plumbline.functions.hashing import canonical_map, stable_id
 from plumbline.functions.media import bare_media_type, charset_of, decode, media_type_of_path
+from plumbline.functions.terms import market_currency, recurring_basis, retry_delay, term_months
 from plumbline.functions.text import CELL_UNITS, bare_name, cell_text, comparable, comparable_column, scripts, sheet_number
 from plumbline.functions.times import expired, freshness, zoned_time
 from plumbline.functions.urls import canonical_url, canonical_url_column, host, host_allowed, item_identity, without_secrets
@@ -85,3 +86,13 @@ def test_times(spark):
     assert column(spark, ["2026-01-01", "2026-01-02", "2026-01-02T11:00:00Z", "", None, "junk"], lambda v: expired(v, at)) == [True, False, True, False, False, None]
     when = [datetime(2026, 1, 2, 12, 4), datetime(2026, 1, 2, 12, 6), datetime(2026, 1, 1), None]
     assert column(spark, when, lambda v: freshness(v, at, F.lit(24)), "timestamp") == ["observed", "unknown", "stale", "unknown"]
+
+
+def test_terms(spark):
+    values = ["48개월 약정", "payable for 12 months", "the 36-month plan", "24개월 또는 36개월", "12~36개월", "2년", "24 months or 2 years", "none", None, "12 months, 12개월"]
+    assert column(spark, values, term_months) == [48, 12, 36, None, None, 24, 24, None, None, 12]
+    assert column(spark, ["월 5원", "5 USD per year", "weekly or daily", "x", None], recurring_basis) == ["monthly", "yearly", None, None, None]
+    assert column(spark, [" South  Korea", "usd", "미국", "eur", "moon", None], market_currency) == ["KRW", "USD", "USD", "EUR", None, None]
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    got = column(spark, ["7", "Thu, 01 Jan 2026 00:00:30 GMT", "Wed, 31 Dec 2025 00:00:00 GMT", "soon", None], lambda v: retry_delay(v, F.lit(3), now))
+    assert got == [7.0, 30.0, 0.0, 1.5, 1.5]

@@ -85,3 +85,13 @@ def test_pairs_against_brute_force(spark):
     near = lambda x, y: abs(x - y) <= 0.001 * max(x, y)
     want = sorted((a[0], b[0]) for a, b in itertools.combinations(data, 2) if a[1] and a[1:4] == b[1:4] and a[4] and b[4] and near(a[4], b[4]) and near(a[5], b[5]))
     assert rows(same_offers(df)) == sorted(want, key=repr) and len(want) > 100
+
+
+def test_one_model_with_a_third_of_all_rows_is_many_keys(spark):
+    """Offers of one model that differ meet in no key: the join forms about as many pairs as there are agreeing ones."""
+    df = spark.range(30_000).selectExpr(
+        "id AS row_id", "if(id % 3 = 0, 'hot', concat('m', id)) AS model", "'EUR' AS currency", "'mass' AS dimension", "exp(id * 0.003) AS content", "2.0D AS unit_price"
+    )
+    assert rows(same_offers(df)) == []
+    twins = df.unionByName(df.where("row_id % 3000 = 0").withColumn("row_id", df["row_id"] + 100_000))
+    assert len(rows(same_offers(twins))) == 10

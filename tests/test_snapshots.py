@@ -95,3 +95,11 @@ def test_both_tables(spark):
     pages = make(spark, [("k", "u", 1, T0, page()), ("k", "v", 2, T0, page())])
     baselines = spark.createDataFrame([("s", 1, T0, "{}"), ("s", 2, T0, '{"valid":true}')], "scope_key string, snapshot_no int, delivered_at timestamp_ntz, data string")
     assert rows(refresh_changes(pages, baselines)) == [("baselines", "s", "", 2, "changed"), ("pages", "k", "u", 2, "removed"), ("pages", "k", "v", 2, "added")]
+
+
+def test_a_key_repeated_without_end_is_one_record(spark):
+    df = spark.range(60_000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('k', id)) AS plan_key", "'u' AS url", "int(1 + id % 2) AS snapshot_no", "timestamp_ntz'2026-01-01 00:00:00' AS delivered_at", "'[]' AS data"
+    )
+    got = snapshot_changes(df, ["plan_key", "url"], fingerprint=page_fingerprint(F.col("data"))).groupBy("change").count()
+    assert rows(got) == [("added", 20_000), ("removed", 20_000)]
