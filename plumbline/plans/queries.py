@@ -361,7 +361,11 @@ def reachable_from_internal(spark: SparkSession, folder: str) -> DataFrame:
     return reachable(edges, roots, "src", "dst")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'p:' || product_id AS a, 'm:' || model AS b FROM catalog_rows WHERE product_id IS NOT NULL),
+    l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), seen(node, start) AS (SELECT a, a FROM l UNION SELECT l.b, seen.start FROM seen JOIN l ON l.a = seen.node)
+    SELECT node, min(start) AS component FROM seen GROUP BY node"""
+)
 def product_families(spark: SparkSession, folder: str) -> DataFrame:
     """Connected components of products and models."""
     rows = table(spark, folder, "catalog_rows", "product_id", "model").where("product_id IS NOT NULL").distinct()
