@@ -85,6 +85,10 @@ ORACLE: dict[str, str] = {
     SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d JOIN e USING (run)""",
     "p8_found": f"""WITH {_WINDOWS}, u AS (SELECT DISTINCT doc_id, h FROM w)
     SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_clusters": f"""WITH RECURSIVE {_WINDOWS}, u AS (SELECT DISTINCT doc_id, h FROM w),
+    l AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id),
+    seen(node, start) AS (SELECT a, a FROM l UNION SELECT l.b, seen.start FROM seen JOIN l ON l.a = seen.node)
+    SELECT node AS doc_id, min(start) AS cluster, node = min(start) AS keep FROM seen GROUP BY node""",
     "p8_shares": f"""WITH {_WINDOWS}, several AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
     starts AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w SEMI JOIN several USING (h)),
     sums AS (SELECT doc_id, CAST(sum(least(300, coalesce(n - i, 300))) AS BIGINT) AS s FROM starts GROUP BY doc_id)
