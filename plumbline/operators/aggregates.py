@@ -53,7 +53,8 @@ def state_rollup(df: DataFrame, keys: Sequence[str], state: str, reason: str, co
     """``keys, state, reasons``: one state for the states of a group's rows.
 
     All ``complete``: complete; all ``unavailable``: unavailable; otherwise ``review``. Reasons: the distinct non-empty
-    ones, sorted, joined by ``; ``. A null state is neither.
+    ones, sorted, joined by ``; ``. A null state is neither. The distinct reasons of a group make one text, so reasons are
+    expected to be of a kind, not free text for each row.
     """
     every = lambda wanted: F.every(F.coalesce(F.col(state) == wanted, F.lit(False)))
     kept = F.collect_set(F.when(F.trim(reason) != "", F.col(reason)))

@@ -12,6 +12,17 @@ from pyspark.sql.window import Window
 from plumbline.session import cut_lineage
 
 
+#: Up to so many rows are taken from an order with a heap; more by their rank, which no single task holds.
+HEAP_ROWS = 10_000
+
+
+def _first(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset + 1`` to ``offset + limit`` of the order."""
+    if offset + limit <= HEAP_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    return global_rank(df, order, "__rank").where(F.col("__rank").between(offset + 1, offset + limit)).orderBy("__rank").drop("__rank")
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """``df`` with the 1-based position of each row in the whole order, without a window over one partition.
 
@@ -41,7 +52,7 @@ def deterministic_sample(df: DataFrame, key: str, fingerprint: str, ratio: float
     keyed = df.where(F.col(key).isNotNull())
     ranked = keyed.withColumn("sample_hash", F.sha2(F.concat(F.lit(fingerprint + "\n"), F.col(key)), 256))
     wanted = max(least, math.ceil(ratio * keyed.count()))
-    return ranked.orderBy("sample_hash", key).limit(wanted)
+    return _first(ranked, [F.col("sample_hash"), F.col(key)], 0, wanted)
 
 
 def occurrence_suffix(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
@@ -61,5 +72,5 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
     if offset < 0 or not 1 <= limit <= 500:
         raise ValueError("offset must not be negative, limit between 1 and 500")
     total = df.count()
-    rows = df.orderBy(*order).offset(offset).limit(limit)
+    rows = _first(df, order, offset, limit)
     return rows.withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > offset + limit)})

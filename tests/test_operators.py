@@ -209,3 +209,10 @@ def test_association(spark):
     right = spark.createDataFrame([("r1", "u", "a", {"size": "m", "x": "1"}), ("r2", "u", "a", {"size": "l"}), ("r3", "u", "b", {"size": "s"}), ("r4", "u", "b", None), ("r5", "u", "c", {"size": "l"}), ("r6", None, "a", None)], "r string, url string, name string, v map<string,string>")
     got = rows(associate(left, right, ["url", "name"], "i", "r", "v"))
     assert got == [(1, "r1", "linked"), (2, None, "ambiguous"), (3, None, "unmatched"), (4, None, "unmatched"), (5, None, "unmatched")]
+
+
+def test_large_pages_and_samples_by_rank(spark, monkeypatch):
+    df = spark.createDataFrame([(i * 7 % 101, f"k{i}") for i in range(101)], "v int, k string")
+    few = rows(deterministic_sample(df, "k", "f", 0.3)), [tuple(r) for r in page(df, [F.col("v")], 60, 20).collect()]
+    monkeypatch.setattr("plumbline.operators.windows.HEAP_ROWS", 5)
+    assert few == (rows(deterministic_sample(df, "k", "f", 0.3)), [tuple(r) for r in page(df, [F.col("v")], 60, 20).collect()])
