@@ -8,14 +8,17 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
+from decimal import Decimal
+from typing import NamedTuple
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.amounts import _RANGE, ISO_CODES, Found, currencies, marked_amounts
 from plumbline.functions.media import decode
-from plumbline.sources.html import Node, grid, parse, select, value
+from plumbline.sources.html import SILENT, Node, grid, parse, select, value
 
 #: Depth to which nested structured data is followed.
 DEPTH = 8
@@ -305,26 +308,171 @@ def frontier(found: DataFrame, priority: str, order: str, group: str, limit: int
     return ranked.where(F.col("place") <= limit)
 
 
-def _card_rows(text: str) -> list[tuple[str, str, str | None]]:
-    """Name, amount and marker of the cards of the largest repeated group that has one amount in most of its cards."""
-    from plumbline.functions.amounts import marked_amounts
+# Words in classes and labels that tell current, former and other amounts apart.
+_CURRENT = frozenset("sale sales discount discounted final current selling special now deal offer dc member".split())
+_FORMER = frozenset("origin original regular consumer retail before was strike old msrp compare list".split())
+_OTHER = frozenset("shipping delivery point points reward mileage coupon installment unit per".split())
+_CURRENT_LABEL = re.compile(r"판매가|할인가|혜택가|최종가|특가|최저가|sale\s*price|now\b|our\s*price", re.IGNORECASE)
+_FORMER_LABEL = re.compile(r"정가|소비자가|시중가|기존가|정상가|권장가|\bwas\b|regular\s*price|list\s*price|\bmsrp\b", re.IGNORECASE)
+_OTHER_LABEL = re.compile(
+    r"^\s*\(?\s*[+＋]|배송비|택배비|적립|포인트|쿠폰|할부|단위\s*가격|(?:\d+\s*(?:g|ml|kg|l|개|매|입|m)\s*당)|shipping|delivery|reward|per\s+\d|/\s*\d+\s*(?:g|ml)\b|unit\s*price",
+    re.IGNORECASE,
+)
+_STRUCK = re.compile(r"line-through", re.IGNORECASE)
+_MARKER = re.compile(rf"[₩￦$＄€£￡¥￥원円元]|{'|'.join(ISO_CODES)}")
+
+
+class Price(NamedTuple):
+    """The smallest element that shows an amount: how many it shows, the one it stands for, and what kind that is."""
+
+    node: Node
+    shown: int
+    value: str | None
+    marker: str | None
+    current: bool
+    former: bool
+    struck: bool
+    other: bool
+
+    @property
+    def usable(self) -> bool:
+        return not (self.former or self.struck or self.other)
+
+    @property
+    def key(self) -> tuple[str | None, str]:
+        return self.value, currencies(self.marker or "")
+
+
+def _words(node: Node) -> set[str]:
+    raw = " ".join(node.attrs.get(k, "") for k in ("class", "id", "itemprop"))
+    return set(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", raw).lower())) - {""}
+
+
+def _prices(top: Node) -> list[Price]:
+    """The elements in ``top`` that show amounts, in document order. Figures in parts ("$249" and ".99") are read in the
+    element around them; an element around a further one with amounts counts with the rest of its text."""
+    if not _MARKER.search(top.text()):
+        return []
+    read: dict[int, tuple[str, list[Found]]] = {}
+
+    def amounts(node: Node) -> list[Found]:
+        if id(node) not in read:
+            shown = node.text()
+            read[id(node)] = (shown, marked_amounts(shown))
+        return read[id(node)][1]
+
+    found: dict[int, Node] = {}
+    around: set[int] = set()
+    for own in top.elements():
+        if not any(isinstance(c, str) and re.search(r"\d", c) for c in own.children) or not own.shown():
+            continue
+        node = own
+        while not amounts(node) and node is not top:
+            node = node.parent
+        for _ in range(2):
+            if len(amounts(node)) != 1 or node is top or len(amounts(node.parent)) != 1:
+                break
+            inner, outer = amounts(node)[0].token, amounts(node.parent)[0].token
+            if inner == outer or not outer.startswith(inner):
+                break
+            node = node.parent
+        if amounts(node) and id(node) not in found:
+            found[id(node)] = node
+            while node is not top:
+                node = node.parent
+                around.add(id(node))
+    out = []
+    for node in found.values():
+        text, shown = read[id(node)]
+        if id(node) in around:
+            text = _text_besides(node, found.keys())
+            shown = marked_amounts(text)
+            if not shown:
+                continue
+        near, at, step = set(), node, 0
+        struck = False
+        while True:
+            struck = struck or at.tag in ("del", "s", "strike") or bool(_STRUCK.search(f"{at.attrs.get('style')} {at.attrs.get('class')}"))
+            if at is top:
+                break
+            near |= _words(at) if step < 2 else set()
+            at, step = at.parent, step + 1
+        current = bool(near & _CURRENT or _CURRENT_LABEL.search(text))
+        former = not current and bool(near & _FORMER or _FORMER_LABEL.search(text))
+        other = bool((node is not top and _words(node) & _OTHER) or _OTHER_LABEL.search(text))
+        ranges = any(m.start() < f.end and m.end() > f.start for m in _RANGE.finditer(text) for f in shown)
+        one = not ranges and len({(f.value, currencies(f.marker)) for f in shown}) == 1
+        out.append(Price(node, len(shown), shown[0].value if one else None, shown[0].marker if one else None, current, former, struck, other))
+    return out
+
 
+def _text_besides(top: Node, others: Collection[int]) -> str:
+    """The visible text of ``top`` without that of the elements ``others`` in it."""
+    parts: list[str] = []
+    stack: list[Node | str] = [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        elif node is not top and id(node) in others:
+            parts.append(" ")
+        elif node.tag not in SILENT and not node.hidden():
+            stack.extend(reversed(node.children))
+    return " ".join("".join(parts).split())
+
+
+def _chosen(prices: list[Price], text: str) -> tuple[str | None, str | None]:
+    """Amount and marker of the one current price: the only one, else the one marked as current, else the lower of two that a
+    shown discount rate joins; nulls if that leaves none or several."""
+    usable = [p for p in prices if p.usable and p.value]
+    one = lambda found: len({p.key for p in found}) == 1
+    if not any(p.usable for p in prices):
+        unstruck = [p for p in prices if p.value and not p.struck]
+        usable = [p for p in unstruck if not p.other] or unstruck
+    if one(usable):
+        return usable[0].value, usable[0].marker
+    hinted = [p for p in usable if p.current]
+    if one(hinted):
+        return hinted[0].value, hinted[0].marker
+    by_value = {Decimal(p.value): p for p in reversed(usable)}
+    if len(by_value) == 2:
+        low, high = sorted(by_value)
+        for rate in re.findall(r"(?<![\d.])(\d{1,2})\s*%", text):
+            if int(rate) and abs(high * (100 - int(rate)) / 100 - low) <= max(Decimal(1), high * Decimal("0.005")):
+                return by_value[low].value, by_value[low].marker
+    return None, None
+
+
+def _card_name(card: Node, shown: str) -> str | None:
+    """The first heading, link or bold text without an amount; else the text before the first amount, or all of it."""
+    named = [t for n in select(card, "h2, h3, h4, strong, a, b") if n.shown() and (t := n.text())]
+    first = next((t for t in named if not marked_amounts(t)), None) or next((t for t in named if marked_amounts(t)[0].start), None)
+    found = marked_amounts(shown)
+    alt = next((t for n in select(card, "img") if (t := n.attrs.get("alt", "").strip())), None)
+    return first or (shown[: found[0].start].strip() if found else None) or alt or shown or None
+
+
+def _priced(card: Node, prices: list[Price]) -> bool:
+    """Whether a card shows one to three amounts, struck and other ones counted or not; text without any element or link, a
+    sentence say, has to show one amount only."""
+    if card.tag != "a" and not any(isinstance(c, Node) for c in card.children):
+        return any(p.value or p.shown == 1 for p in prices)
+    return 1 <= sum(p.shown for p in prices) <= 3 or 1 <= sum(p.shown for p in prices if p.usable) <= 3
+
+
+def _card_rows(text: str) -> list[tuple[str, str | None, str | None]]:
+    """Name, amount and marker of all cards of the largest repeated group in which four of five cards are ``_priced``. A card
+    without one clear amount has nulls; elements that show nothing are no cards."""
     groups: dict[tuple, list[Node]] = {}
     for node in parse(text).elements():
         if node.parent is not None and node.tag in ("li", "div", "article", "tr", "a", "section") and node.shown():
             groups.setdefault((id(node.parent), node.tag, " ".join(sorted(node.classes()))), []).append(node)
-    for cards in sorted(groups.values(), key=len, reverse=True):
-        if len(cards) < 3:
+    for nodes in sorted(groups.values(), key=len, reverse=True):
+        if len(nodes) < 3:
             break
-        rows = []
-        for card in cards:
-            shown = card.text()
-            found = marked_amounts(shown)
-            name = value(card, "h2, h3, h4, strong, a, b") or (shown[: found[0].start].strip() if found else None)
-            if len(found) == 1 and name:
-                rows.append((name, found[0].value, found[0].marker))
-        if len(rows) >= 0.8 * len(cards):
-            return rows
+        cards = [(n, shown, _prices(n)) for n in nodes if (shown := n.text()) or any(i.attrs.get("alt") for i in select(n, "img"))]
+        if len(cards) >= 3 and sum(_priced(n, prices) for n, _, prices in cards) >= 0.8 * len(cards):
+            return [(_card_name(n, shown), *_chosen(prices, shown)) for n, shown, prices in cards]
     return []
 
 
@@ -346,7 +494,7 @@ def generic_records(captures: DataFrame) -> DataFrame:
     """``method, name, amount, currency``: the records of any page, by the first of these that finds one: structured data
     (``json_ld``, ``microdata``), repeated ``cards``, ``price_lines``, a ``single`` product.
 
-    A single product without one clear amount is a row with a null amount: a gap that is told.
+    A card or single product without one clear amount is a row with a null amount: a gap that is told.
     """
     def chain(text: str, url: str | None) -> list[tuple]:
         found = [("json_ld", n or "", p or low, c) for n, _, p, low, _, c, _ in _find_json_ld(text, url) if p or low]

@@ -131,3 +131,27 @@ def test_generic_chain_and_adapters(spark):
     assert {k: v.count() for k, v in parts.items()} == {"links": 4, "price_lines": 2, "generic": 5}
     with pytest.raises(ValueError, match="no such adapter: nope"):
         by_adapter(df, {"a": "nope"})
+
+
+def test_cards_with_several_amounts_and_none(spark):
+    def listing(*cards: str) -> str:
+        return "<h1>List</h1><ul>" + "".join(f'<li class="c"><a href="/{k}">Item {k}</a> {c}</li>' for k, c in enumerate(cards, 1)) + "</ul>"
+
+    pages = {
+        "twice": listing(*["<i>10 EUR</i><em>10 EUR</em>"] * 3),
+        "struck": listing("<del>20,000원</del><em>15,000원</em>", '<i style="text-decoration:line-through">$20</i><i>$15</i>', '<i class="list-price">9 USD</i><i>8 USD</i>'),
+        "named": listing("<i>정가 20,000원</i><i>판매가 15,000원</i>", "<i>10 USD</i><i>9 USD</i> 10% off", "<i>10 USD</i><i>9 USD</i>", "<del>10 USD</del> 9 USD", "7 USD free shipping", "6 USD until 2026-02-18", "5~6 EUR"),
+        "mixed": listing("<i>1 EUR</i>", "<i>2 EUR</i>", "<i>$3</i><i>.50</i>", "<i>4 EUR</i> <i>1 EUR shipping</i>", "on request"),
+        "many": listing(*["<i>1 EUR</i><i>2 EUR</i><i>3 EUR</i><i>4 EUR</i>"] * 3),
+    }
+    df = spark.createDataFrame([(k, f"https://{k}.example/", v.encode(), None) for k, v in pages.items()], "capture_id string, url string, content binary, media_type string")
+    got: dict[str, list] = {}
+    for r in generic_records(df).orderBy("capture_id", "position").collect():
+        got.setdefault(r.capture_id, []).append((r.method, r.name, r.amount))
+    assert got == {
+        "twice": [("cards", f"Item {k}", "10") for k in (1, 2, 3)],
+        "struck": [("cards", "Item 1", "15000"), ("cards", "Item 2", "15"), ("cards", "Item 3", "8")],
+        "named": [("cards", "Item 1", "15000"), ("cards", "Item 2", "9"), ("cards", "Item 3", None), ("cards", "Item 4", "9"), ("cards", "Item 5", "7"), ("cards", "Item 6", "6"), ("cards", "Item 7", None)],
+        "mixed": [("cards", "Item 1", "1"), ("cards", "Item 2", "2"), ("cards", "Item 3", "3.5"), ("cards", "Item 4", "4"), ("cards", "Item 5", None)],
+        "many": [("single", "List", None)],
+    }
