@@ -2,8 +2,9 @@
 
 Every line of a page with visible text is a block. A block is described by its own shallow features (words, links, digits,
 kind of element, how its words are used in a small labelled table) and by those of its neighbours and its place after the
-page's title. Blocks outside of the title's element are none; of the others a decision tree decides, trained when a query
-starts on the labelled table beside this module. The table has some 80 pages; no document of the input is ever used
+page's title. Rules come first: blocks before the title, all of a page without a title and, in a plain page, what a sidebar's
+heading and its first name open, are none. Of all other blocks, in the title's element or outside, a decision tree decides,
+trained when a query starts on the labelled table beside this module. The table has some 80 pages; no document of the input is ever used
 for training.
 """
 
@@ -42,6 +43,8 @@ _CODE = re.compile(r"\b(?=[A-Za-z0-9-]*[A-Z])(?=[A-Za-z0-9-]*\d\d)[A-Za-z0-9]+(?
 _MONEY = re.compile(r"[$€£¥₩]|\d\s?[円원]|\b(?:USD|EUR|KRW|GBP|JPY)\b(?!-)")
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[.!?。！？]\s*$")
+#: A line that ends in a lost character, and not with a figure before it: its full stop may be what was lost.
+_LOST = re.compile(r"\D{5}\ufffd$")
 #: Elements that hold others; a line that only opens or closes them is no block.
 _HOLDERS = {"div", "section", "article", "main", "nav", "aside", "header", "footer", "form", "table", "tbody", "body", "html"}
 # Kinds of elements a block may be, in the order of the feature "kind".
@@ -120,7 +123,7 @@ class Uses:
 def is_name(shown: str) -> bool:
     """Whether a line is a name with a code, not a sentence or a stated property. Its words say nothing about its use."""
     coded = _CODE.search(shown)
-    return bool(coded) and not _BREAK.search(shown) and len(shown) < 90 and shown.find(": ", 0, coded.start()) < 0
+    return bool(coded) and not _BREAK.search(shown) and not _LOST.search(shown) and len(shown) < 90 and shown.find(": ", 0, coded.start()) < 0
 
 
 def read_line(raw: str, uses: Uses) -> Line:
@@ -184,16 +187,18 @@ FEATURES = (
     "p_words p_kind p_link p_code p_money p_digits p_sentence p_use n_words n_kind n_link n_code n_money n_digits n_sentence n_use "
     "pp_use nn_use pp_code nn_code titled since items listed n_listed holder ending"
 ).split()
-HEARD = FEATURES.index("heard")
+HEARD, HOLDER = FEATURES.index("heard"), FEATURES.index("holder")
 
 
 def page_features(lines: list[Line]) -> tuple[list[int], list[tuple[float, ...]]]:
-    """Indices and features of those blocks of a page that lie in the title's element.
+    """Indices and features of the blocks of a page from its title on.
 
     The title is the first ``h1``, or else the first name with a code, outside links, that a short line with digits but
     no code follows. ``titled`` says whether a block is before, at or after it, ``since`` how many blocks
     after; ``listed`` is a name with a code after the title (what sidebars list), ``items`` counts those before the block, ``holder`` how deep
-    the block lies in or outside of the title's element (in a plain page: 1 from the title to the first listed name), ``ending`` how many blocks without any digit or code came last.
+    the block lies in or outside of the title's element (in a plain page: 1 from the title to the first listed name), ``ending`` how many blocks without any digit or code came last. In a plain page, a first listed name after a block
+    whose words are used outside of main bodies ("Recently viewed"), or are not known and without any digit, ends the
+    blocks: what follows is of other things.
     """
     at = [i for i, x in enumerate(lines) if x.words]
     blocks = [lines[i] for i in at]
@@ -212,7 +217,7 @@ def page_features(lines: list[Line]) -> tuple[list[int], list[tuple[float, ...]]
         level += x.opens
     home = levels[at[title]] if title is not None else 0
     marked = has_elements(lines)
-    lowest, items, plain = home, 0, 0
+    lowest, items, plain, other = home, 0, 0, False
     rows, inside = [], []
     pad = Line(*_EMPTY, 0, 0)
     for k, x in enumerate(blocks):
@@ -227,7 +232,9 @@ def page_features(lines: list[Line]) -> tuple[list[int], list[tuple[float, ...]]
             holder = int(titled >= 1 and not items and not listed)
         else:
             holder = 0 if titled <= 0 else (-1 if lowest < home else levels[at[k]] - home + 1)
-        if holder > 0:
+        if listed and not items:
+            other = not marked and (p.use < 0 or (p.use == 0 and not p.digits))
+        if titled >= 1 and not other:
             inside.append(at[k])
             rows.append((
                 x.words, x.chars, x.kind, x.link, x.code, x.money, x.digits, x.sentence, x.colon, x.signs, x.named, x.heard, x.use,
@@ -296,18 +303,18 @@ class Tree:
 
 @dataclass
 class Model:
-    """The word uses and four trees: for pages with elements or plain, for blocks with known words or without. Small: some
-    thousand words and some hundred nodes, whatever the input."""
+    """The word uses and eight trees: for pages with elements or plain, for blocks with known words or without, for blocks in
+    the title's element or outside. Small: some thousand words and some hundred nodes, whatever the input."""
 
     uses: Uses
-    trees: dict[tuple[bool, bool], Tree]
+    trees: dict[tuple[bool, bool, bool], Tree]
 
     def main(self, marked: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Whether blocks are main body; ``marked``: whether their pages have elements."""
         out = np.zeros(len(rows), bool)
-        heard = rows[:, HEARD] > 0
-        for (m, h), tree in self.trees.items():
-            of = (marked == m) & (heard == h)
+        heard, inside = rows[:, HEARD] > 0, rows[:, HOLDER] > 0
+        for (m, h, i), tree in self.trees.items():
+            of = (marked == m) & (heard == h) & (inside == i)
             if of.any():
                 out[of] = tree.predict(rows[of]) > 0.5
         return out
@@ -349,7 +356,7 @@ def train(pages: list[list[tuple[str, int]]], folds: int = 20) -> Model:
     def shown(page: list[tuple[str, int]]) -> list[tuple[str, int]]:
         return without_tags(page)
 
-    x: dict[tuple[bool, bool], list] = {(m, h): [] for m in (True, False) for h in (True, False)}
+    x: dict[tuple[bool, bool, bool], list] = {(m, h, i): [] for m in (True, False) for h in (True, False) for i in (True, False)}
     y: dict[tuple[bool, bool], list] = {key: [] for key in x}
     forms = [shown(page) for page in both]
     for fold in range(folds + 1):
@@ -359,9 +366,11 @@ def train(pages: list[list[tuple[str, int]]], folds: int = 20) -> Model:
             if k // 2 % folds == fold or fold == folds:
                 lines = [read_line(line, uses) for line, _ in page]
                 at, rows = page_features(lines)
-                key = (has_elements(lines), fold < folds)
-                x[key] += rows
-                y[key] += [page[i][1] for i in at]
+                marked = has_elements(lines)
+                for k_line, row in zip(at, rows, strict=True):
+                    key = (marked, fold < folds, row[HOLDER] > 0)
+                    x[key].append(row)
+                    y[key].append(page[k_line][1])
     trees = {key: Tree(np.array(x[key], np.float64), np.array(y[key])) for key in x if x[key]}
     return Model(Uses.learn(forms), trees)
 

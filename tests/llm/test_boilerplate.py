@@ -94,3 +94,30 @@ def test_captures(spark):
     want = [("a", s, n) for s in (0, 1, 3) for n in MAIN] + [("b", 0, n) for n in MAIN] + [("f", 0, n + 1) for n in MAIN]
     assert got == sorted(want, key=repr)
     assert main_body(df.limit(0)).count() == 0
+
+
+PLAIN = """ホーム
+ヘルプ
+Kaposé メニュー立て LGZ-44200
+価格はお問い合わせ（44190）
+共有
+保証: 60か月
+型番: LGZ-44200
+LGZ-44200の価格は18,820円から3556220円に変わりましたが、4657ページに説明はありません。
+保証金260,880円は48か月の契約に適用され、75日後に返金されます。
+最近見た商品
+Mirexa うすめ液 YLG-29422
+Café Lumé エアフィルター TVH-45832 18,370円
+今週末に限り、34172円以上のお買い上げで全受取所への送料が無料になります。
+© 2025 まとめ屋 9 無断転載を禁じます。"""
+
+
+def test_a_listed_name_does_not_end_the_main_body():
+    found = Classifier(default_model())
+    # The full stop's last byte is lost: the first sentence is no listed name.
+    assert found.pages([(PLAIN.encode(), "shift_jis")]) == [[3, 4, 6, 7, 8, 9]]
+    # A property without a colon looks like a listed name; what follows it is still judged.
+    page = "Ångvik floor lamp SHA-66918\n141.02 USD\nModel SHA-66918\nWarranty 12 months\nFor contract 13274 the monthly fee is 736.28 USD, payable for 12 months from 2026-02-18.\nVAT included."
+    assert found.pages([(page.encode(), "utf-8")]) == [[1, 2, 3, 4, 5, 6]]
+    at, features = page_features([read_line(x, Uses({})) for x in PAGE.split("\n")])
+    assert at[0] == 8 and at[-1] == 23 and {f[FEATURES.index("holder")] > 0 for f in features} == {True, False}
