@@ -714,30 +714,34 @@ def content_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def _page_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Every state of every captured page, as the page scans read them."""
+    return snapshots(table(spark, folder, "captures", "capture_id", "url", "content", "media_type", "variant_snapshots"))
+
+
 @query()
 def page_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """The displayed price of every page that marks one, by a CSS rule."""
-    captures = table(spark, folder, "captures", "capture_id", "url", "content", "media_type")
-    return css_rows(captures, "main, div", {"price": "> span.price", "title": "> h1"}).where("fields['price'] IS NOT NULL")
+    """The displayed price of every state of a page that marks one, by a CSS rule."""
+    return css_rows(_page_states(spark, folder), "main, div", {"price": "> span.price", "title": "> h1"}).where("fields['price'] IS NOT NULL")
 
 
 @query()
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    return links(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
+    return links(_page_states(spark, folder))
 
 
 @query()
 def page_price_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled amounts of pages that list several."""
-    return price_lines(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
+    """Labelled amounts of states of pages that list several."""
+    return price_lines(_page_states(spark, folder))
 
 
 @query()
 def page_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of every page by the generic chain of scans."""
-    return generic_records(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
+    """The records of every state of every page by the generic chain of scans."""
+    return generic_records(_page_states(spark, folder))
 
 
 @query()
 def page_cards(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_cards(table(spark, folder, "captures", "capture_id", "url", "content", "media_type"))
+    return repeated_cards(_page_states(spark, folder))

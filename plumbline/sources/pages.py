@@ -28,6 +28,7 @@ _NESTED = ("@graph", "hasVariant", "itemListElement", "item", "mainEntity", "off
 
 def scan(captures: DataFrame, find: Callable[[str, str | None], list[tuple]], record: str, keep: tuple[str, ...] = ("capture_id", "url")) -> DataFrame:
     """``keep`` and the fields of ``record`` for everything that ``find`` (page text, URL) returns; its place as ``position``.
+    Where captures are :func:`snapshots`, ``snapshot_no`` is kept too.
 
     Null and empty contents give nothing.
     """
@@ -35,6 +36,7 @@ def scan(captures: DataFrame, find: Callable[[str, str | None], list[tuple]], re
         text = decode(content, media_type)
         return find(text, url) if text else []
 
+    keep = (*keep, *(c for c in ("snapshot_no",) if c in captures.columns and c not in keep))
     found = F.udf(run, f"array<struct<{record}>>", useArrow=True)("content", "media_type", "url")
     rows = captures.select(*keep, F.posexplode(found).alias("position", "__r"))
     return rows.select(*keep, "position", "__r.*")
@@ -111,6 +113,8 @@ def _types(record: dict) -> set[str]:
 
 def _find_json_ld(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
     out = []
+    if "<script" not in text.lower():
+        return out
     for node in select(parse(text), "script[type=application/ld+json]"):
         try:
             data = json.loads(node.raw_text(), parse_float=str, parse_int=str)
@@ -146,6 +150,8 @@ def json_ld(captures: DataFrame) -> DataFrame:
 
 def _find_microdata(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
     out = []
+    if "itemscope" not in text.lower():
+        return out
     for item in select(parse(text), "[itemscope]"):
         got: dict[str, str] = {}
         stack = [c for c in reversed(item.children) if isinstance(c, Node)]
@@ -351,8 +357,6 @@ def _words(node: Node) -> set[str]:
 def _prices(top: Node) -> list[Price]:
     """The elements in ``top`` that show amounts, in document order. Figures in parts ("$249" and ".99") are read in the
     element around them; an element around a further one with amounts counts with the rest of its text."""
-    if not _MARKER.search(top.text()):
-        return []
     read: dict[int, tuple[str, list[Found]]] = {}
 
     def amounts(node: Node) -> list[Found]:
@@ -470,9 +474,16 @@ def _card_rows(text: str) -> list[tuple[str, str | None, str | None]]:
     for nodes in sorted(groups.values(), key=len, reverse=True):
         if len(nodes) < 3:
             break
-        cards = [(n, shown, _prices(n)) for n in nodes if (shown := n.text()) or any(i.attrs.get("alt") for i in select(n, "img"))]
-        if len(cards) >= 3 and sum(_priced(n, prices) for n, _, prices in cards) >= 0.8 * len(cards):
-            return [(_card_name(n, shown), *_chosen(prices, shown)) for n, shown, prices in cards]
+        cards = [(n, shown) for n in nodes if (shown := n.text()) or any(i.attrs.get("alt") for i in select(n, "img"))]
+        spare, read = len(cards) - 0.8 * len(cards), []
+        for card, shown in cards if len(cards) >= 3 else ():
+            prices = _prices(card) if _MARKER.search(shown) else []
+            spare -= not _priced(card, prices)
+            if spare < -1e-9:
+                break
+            read.append((card, shown, prices))
+        if read and len(read) == len(cards):
+            return [(_card_name(n, shown), *_chosen(prices, shown)) for n, shown, prices in read]
     return []
 
 

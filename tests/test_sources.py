@@ -155,3 +155,15 @@ def test_cards_with_several_amounts_and_none(spark):
         "mixed": [("cards", "Item 1", "1"), ("cards", "Item 2", "2"), ("cards", "Item 3", "3.5"), ("cards", "Item 4", "4"), ("cards", "Item 5", None)],
         "many": [("single", "List", None)],
     }
+
+
+def test_page_queries_read_all_states(spark, tmp_path):
+    from plumbline.plans.queries import QUERIES
+
+    kind = "capture_id string, url string, content binary, media_type string, variant_snapshots array<struct<content binary, final_url string>>"
+    page = '<div><h1>Reel</h1><span class="price">{} EUR</span></div><p>A: 1 EUR</p><p>B: 2 EUR</p><ul><li>1</li><li>2</li><li>3</li></ul><a href="/x{}">x</a>'
+    df = spark.createDataFrame([("a", "https://a.example/", page.format(5, 5).encode(), None, [(None, None), (page.format(6, 6).encode(), "https://b.example/")])], kind)
+    df.write.parquet(str(tmp_path / "captures.parquet"))
+    for name in ("page_prices", "page_links", "page_price_lines", "page_records", "page_cards"):
+        got = QUERIES[name](spark, str(tmp_path)).select("snapshot_no", "url").distinct()
+        assert rows(got) == [(0, "https://a.example/"), (2, "https://b.example/")], name
