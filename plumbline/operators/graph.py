@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component``: every node of ``edges`` with the smallest node of its component.
 
     Each round every node takes the smallest label among itself and its neighbours, then the label of that label
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
     links = cut_lineage(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = links.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("component"))
     labels = cut_lineage(labels)
-    for _ in range(max_rounds):
+    while True:
         offered = links.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(
             F.min("component").alias("near")
         )
@@ -35,22 +35,21 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
         labels = moved.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str, max_rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str) -> DataFrame:
     """``node``: all nodes that can be reached from ``roots`` (one column ``node``) along edges, roots included.
 
-    A frontier of new nodes is joined to the edges until it is empty. Cycles end, dangling edges name their target.
+    A frontier of new nodes is joined to the edges until it is empty, one round a hop, however many. Cycles end, dangling
+    edges name their target.
     """
     links = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where(F.col("next").isNotNull()).distinct()
     seen = cut_lineage(roots.select("node").where(F.col("node").isNotNull()).distinct())
     frontier = seen
-    for _ in range(max_rounds):
+    while True:
         frontier = cut_lineage(
             links.join(frontier, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
         )
         if not frontier.limit(1).count():
             return seen
         seen = cut_lineage(seen.unionByName(frontier))
-    raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")

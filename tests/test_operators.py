@@ -216,3 +216,8 @@ def test_large_pages_and_samples_by_rank(spark, monkeypatch):
     few = rows(deterministic_sample(df, "k", "f", 0.3)), [tuple(r) for r in page(df, [F.col("v")], 60, 20).collect()]
     monkeypatch.setattr("plumbline.operators.windows.HEAP_ROWS", 5)
     assert few == (rows(deterministic_sample(df, "k", "f", 0.3)), [tuple(r) for r in page(df, [F.col("v")], 60, 20).collect()])
+
+
+def test_a_chain_of_more_than_64_hops(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(66)], "a int, b int").coalesce(1)
+    assert reachable(edges, spark.createDataFrame([(0,)], "node int"), "a", "b").count() == 67
