@@ -132,7 +132,7 @@ def read_line(raw: str, uses: Uses) -> Line:
     if not line:
         return Line(*_EMPTY, 0, 0)
     if not line.isascii():
-        line = canonical_text(restore(line))
+        line = canonical_text(restore(line, by_word=True))
     if "<" not in line and "&" not in line:
         shown, kind, link, opens, closes = line, 0, 0.0, 0, 0
     else:
@@ -165,7 +165,7 @@ def read_line(raw: str, uses: Uses) -> Line:
         shown = html.unescape(" ".join(shown_parts)).strip()
         link = linked / max(1, sum(len(p.strip()) for p in shown_parts))
         if "&" in line and not shown.isascii():
-            shown = canonical_text(restore(shown))
+            shown = canonical_text(restore(shown, by_word=True))
     shown = " ".join(shown.split())
     if not shown:
         return Line(*_EMPTY, opens, closes)

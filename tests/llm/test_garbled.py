@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from plumbline.llm.garbled import find_garbled, garbled_captures, is_garbled, restore
+from plumbline.llm.garbled import TRUE_DOUBLE, TRUE_SINGLE, WRONG_DOUBLE, WRONG_SINGLE, _read, find_garbled, garbled_captures, is_garbled, restore
 
 from tests.conftest import rows
 
@@ -33,6 +33,63 @@ def test_wrong_readings_are_found_and_restored():
     assert restore(wrong("장바구니 목록", "euc-kr", "latin-1")) == "장바구니 목록"
 
 
+TEN = [
+    ("utf-8", "Größe für später im Gerät"), ("utf-8", "호스 릴 목록으로 돌아가기 장바구니"), ("euc-kr", "전체 카테고리 모두 동의 공유하기"), ("euc-jp", "最近見た商品 ホース リールのご案内"),
+    ("utf-8", "Kaposé Señalta Âmbria à la carte"), ("cp1251", "Привет как дела сегодня в Москве"), ("cp1253", "Καλημέρα σε όλους τους φίλους"), ("gbk", "我们提供各种商品的租赁服务"),
+    ("big5", "我們提供各種商品的租賃服務"), ("utf-8", "© 2026 Preis 20 € – “später” …"),
+]
+TRUE = ("utf-8", *TRUE_DOUBLE, *TRUE_SINGLE, "cp1252", "latin-1", "mac_roman")
+
+
+def test_every_text_in_every_pair_is_restored_or_left():
+    """A restored text is the original, never a third one, whatever encodings were mistaken."""
+    restored = 0
+    for _, text in TEN:
+        for true in TRUE:
+            for shown in (*WRONG_SINGLE, *WRONG_DOUBLE):
+                try:
+                    data = text.encode(true)
+                except UnicodeEncodeError:
+                    continue
+                bad = data.decode(shown, "replace") if shown in WRONG_DOUBLE else _read(data, shown)
+                got = restore(bad)
+                assert got in (text, bad), (true, shown, bad, got)
+                restored += got == text != bad
+    assert restored > 170
+    for true, text in TEN:
+        for shown in ("latin-1", "cp1252"):
+            bad = _read(text.encode(true), shown)
+            assert is_garbled(bad), (true, text)
+            assert restore(bad) == text or true in ("gbk", "big5"), (true, text, restore(bad))
+    assert restore(_read("전체 카테고리".encode("euc-kr"), "latin-1")) == "전체 카테고리"
+
+
+def test_utf8_read_two_bytes_at_a_time():
+    for text in ("호스 릴 목록으로", "전체 상품 보기", "Größe für später", "Señalta"):
+        for shown in ("cp949", "gbk"):
+            try:
+                bad = text.encode().decode(shown)
+            except UnicodeDecodeError:
+                continue
+            assert is_garbled(bad) and restore(bad) == text, (text, shown, bad)
+    assert restore("Gr철횩e") == "Größe" and not is_garbled("SK철강 A채 LG체") and not is_garbled("é\xa0à\xa0bord")
+
+
+def test_references_are_restored_where_they_stand():
+    assert restore("<p>Caf&Atilde;&copy; &amp; Cr&egrave;me &#195;&#188;ber</p>") == "<p>Café &amp; Cr&egrave;me über</p>"
+    assert restore("Cr&egrave;me &amp; é") == "Cr&egrave;me &amp; é"
+
+
+def test_a_stretch_is_restored_as_a_whole():
+    lost = "FÃ¼r GerÃ\ufffdte"
+    assert is_garbled(lost) and restore(lost) == lost and restore(lost, by_word=True) == "Für GerÃ\ufffdte"
+    assert restore(f"<b>{lost}</b>\nfÃ¼r") == f"<b>{lost}</b>\nfür"
+    text = "Größe für"
+    for _ in range(6):
+        text = wrong(text, "utf-8", "latin-1")
+    assert restore(text) == "Größe für"
+
+
 def test_unrestorable_ones_are_found():
     for text, true, shown in (("호스 릴 목록으로", "utf-8", "cp949"), ("호스 릴", "euc-kr", "utf-8"), ("Señalta", "latin-1", "utf-8"), ("ホースリールのご案内", "utf-8", "cp932")):
         assert is_garbled(wrong(text, true, shown)), (text, true, shown)
