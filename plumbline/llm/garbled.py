@@ -349,7 +349,7 @@ def _read_run(text: str, start: int, end: int, pair: Pair) -> tuple[int, int, st
                     odds -= 3.0
                 if len(after) == 1 and after.islower() and out[-1].isupper() and (out[-2].islower() if len(out) > 1 else before.islower()):
                     odds -= 3.0
-            elif any(c.isalpha() and (pair.true in TRUE_SINGLE or not c.isascii()) for c in (before, after)) or before.islower() and after.islower():
+            elif any(c.isalpha() and (pair.true in TRUE_SINGLE or not c.isascii()) for c in (before, after)) or after.islower():
                 return None  # no word is part letters as they are shown, part others
             return start, end, out, odds, ideographs
         if run[0] in _BESIDE:
