@@ -333,6 +333,9 @@ def _back(run: str, pair: Pair) -> str | None:
     return out if out != run else None
 
 
+_JOINED = re.compile("[^\x00-\x7f][a-z]")
+
+
 def _read_run(text: str, start: int, end: int, pair: Pair) -> tuple[int, int, str, float, int] | None:
     """The run, or what is left of it without good signs at its ends, read in the true encoding, with its odds and ideographs."""
     while start < end:
@@ -349,7 +352,7 @@ def _read_run(text: str, start: int, end: int, pair: Pair) -> tuple[int, int, st
                     odds -= 3.0
                 if len(after) == 1 and after.islower() and out[-1].isupper() and (out[-2].islower() if len(out) > 1 else before.islower()):
                     odds -= 3.0
-            elif any(c.isalpha() and (pair.true in TRUE_SINGLE or not c.isascii()) for c in (before, after)) or after.islower():
+            elif any(c.isalpha() and (pair.true in TRUE_SINGLE or not c.isascii()) for c in (before, after)) or before.islower() or _JOINED.search(out + after):
                 return None  # no word is part letters as they are shown, part others
             return start, end, out, odds, ideographs
         if run[0] in _BESIDE:
