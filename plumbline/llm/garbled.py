@@ -365,9 +365,10 @@ def _read_run(text: str, start: int, end: int, pair: Pair) -> tuple[int, int, st
 
 
 @lru_cache(maxsize=16384)
-def _readings(text: str, proven: bool) -> tuple[Reading, ...]:
+def _readings(text: str, proven: bool, quick: bool = False) -> tuple[Reading, ...]:
     """The ways to read a stretch of text in which every garbled span is explained by one pair of encodings; all its runs of that
-    pair's characters are read, those that can't be only stay if nothing in them is garbled. Without ``proven`` all runs must be read."""
+    pair's characters are read, those that can't be only stay if nothing in them is garbled. Without ``proven`` all runs must be read; with ``quick`` the first way
+    by UTF-8 is enough."""
     spans = find_garbled(text) if proven else []
     if proven and not spans or any(kind == "lost" and text[s] == "\ufffd" for s, _, kind in spans):
         return ()
@@ -389,7 +390,7 @@ def _readings(text: str, proven: bool) -> tuple[Reading, ...]:
         key = tuple(edits)
         if key not in found or found[key].odds < odds:
             found[key] = Reading(odds, k, key, ideographs)
-        if pair.true == "utf-8" and odds >= CERTAIN:
+        if pair.true == "utf-8" and (quick or odds >= CERTAIN):
             break  # chance doesn't make several characters of UTF-8
     return tuple(sorted(found.values(), reverse=True))
 
@@ -433,7 +434,8 @@ _PIECE, _WORD = re.compile(r"([\n\r<>]+)"), re.compile(r"([\s<>]+)")
 def restore(text: str | None, by_word: bool = False) -> str | None:
     """``text`` with its garbled stretches in their original characters; text garbled several times is restored as often.
 
-    A stretch is what stands between line breaks and tags (between white space with ``by_word``). It is restored as a whole or
+    A stretch is what stands between line breaks and tags (with ``by_word`` between white space, and short words are taken for
+    UTF-8: a quick reading for features, not for texts). It is restored as a whole or
     left as it is: it stays if a byte of it was lost, if no pair of encodings explains all that is garbled in it, or if
     several do and neither its own characters nor the rest of the text decide between them. Correct text beside garbled
     runs stays as it is written.
@@ -449,7 +451,7 @@ def restore(text: str | None, by_word: bool = False) -> str | None:
     seen: dict[int, set[str]] = {k: {pieces[k]} for k in open_}
     while open_:
         plain = {k: _plain(pieces[k]) for k in open_}
-        ways = {k: _readings(plain[k][0], True) for k in open_}
+        ways = {k: _readings(plain[k][0], True, by_word) for k in open_}
         votes: Counter[int] = Counter()
         for found in ways.values():
             for way in found:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.boilerplate import main_body
+from plumbline.llm.boilerplate import main_body, main_text
 from plumbline.llm.garbled import garbled_captures
 from plumbline.llm.leaks import leaked_items
 from plumbline.llm.looks import canonical_column, look_alikes
@@ -31,6 +31,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_body(table(spark, folder, "captures"))
 
 
+def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every state of every page as text."""
+    return main_text(table(spark, folder, "captures"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_captures(table(spark, folder, "captures"), restored=False).select("capture_id")
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_names": p1_names,
     "p3_found": p3_found,
+    "p3_texts": p3_texts,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p6_ids": p6_ids,
