@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 MONTHS = r"개월|months?\b|mois\b|Monate?n?\b|か月|ヶ月"
 YEARS = r"년|years?\b|ans?\b|Jahre?n?\b|年間"
 BASES = {"monthly": r"월|/\s?month|per month|monthly", "yearly": r"연|/\s?year|per year|yearly|annual", "weekly": r"주당|/\s?week|per week|weekly", "daily": r"일당|/\s?day|per day|daily"}
-MARKETS = {
-    "AUD": "au australia 호주", "CAD": "ca canada 캐나다", "CNY": "cn china 중국", "HKD": "hk hong-kong 홍콩", "JPY": "jp japan 일본", "KRW": "kr korea south-korea 한국 대한민국",
-    "NZD": "nz new-zealand 뉴질랜드", "SGD": "sg singapore 싱가포르", "USD": "us usa united-states america 미국",
+
+# Currencies by ISO 3166 country code, and names by which countries are called.
+CURRENCY_OF = {
+    "AT": "EUR", "AU": "AUD", "BE": "EUR", "CA": "CAD", "CH": "CHF", "CN": "CNY", "DE": "EUR", "ES": "EUR", "FR": "EUR", "GB": "GBP", "HK": "HKD",
+    "IE": "EUR", "IT": "EUR", "JP": "JPY", "KR": "KRW", "NL": "EUR", "NZ": "NZD", "PT": "EUR", "SG": "SGD", "TW": "TWD", "UK": "GBP", "US": "USD",
+}
+COUNTRY_OF = {
+    "australia": "AU", "호주": "AU", "canada": "CA", "캐나다": "CA", "switzerland": "CH", "스위스": "CH", "china": "CN", "중국": "CN", "germany": "DE", "독일": "DE",
+    "spain": "ES", "스페인": "ES", "france": "FR", "프랑스": "FR", "united kingdom": "GB", "great britain": "GB", "영국": "GB", "hong kong": "HK", "홍콩": "HK",
+    "italy": "IT", "이탈리아": "IT", "japan": "JP", "일본": "JP", "korea": "KR", "south korea": "KR", "republic of korea": "KR", "한국": "KR", "대한민국": "KR",
+    "new zealand": "NZ", "뉴질랜드": "NZ", "singapore": "SG", "싱가포르": "SG", "taiwan": "TW", "대만": "TW", "united states": "US", "united states of america": "US",
+    "usa": "US", "america": "US", "미국": "US",
 }
 
 
@@ -31,12 +40,11 @@ def recurring_basis(text: Column) -> Column:
 
 
 def market_currency(market: Column) -> Column:
-    """The currency of a market named by country or by a currency code; null for others."""
-    shown = F.regexp_replace(F.lower(F.trim(market)), r"\s+", "-")
-    result = F.when(F.upper(shown).isin([*MARKETS, "CHF", "EUR", "GBP", "TWD"]), F.upper(shown))
-    for code, names in MARKETS.items():
-        result = result.when(shown.isin(names.split()), code)
-    return result
+    """The currency of a market named by its country (code or name) or by a currency code; null for others."""
+    shown = F.regexp_replace(F.lower(F.trim(market)), r"[\s-]+", " ")
+    known = {code.lower(): currency for code, currency in CURRENCY_OF.items()} | {name: CURRENCY_OF[code] for name, code in COUNTRY_OF.items()}
+    known |= {currency.lower(): currency for currency in CURRENCY_OF.values()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), shown)
 
 
 def retry_delay(retry_after: Column, attempt: Column, now: Column) -> Column:

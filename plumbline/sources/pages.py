@@ -16,7 +16,7 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.amounts import _RANGE, ISO_CODES, Found, currencies, marked_amounts
+from plumbline.functions.amounts import ISO_CODES, Found, currencies, marked_amounts, range_ends
 from plumbline.functions.media import decode
 from plumbline.sources.html import SILENT, Node, grid, parse, select, value
 
@@ -404,8 +404,7 @@ def _prices(top: Node) -> list[Price]:
         current = bool(near & _CURRENT or _CURRENT_LABEL.search(text))
         former = not current and bool(near & _FORMER or _FORMER_LABEL.search(text))
         other = bool((node is not top and _words(node) & _OTHER) or _OTHER_LABEL.search(text))
-        ranges = any(m.start() < f.end and m.end() > f.start for m in _RANGE.finditer(text) for f in shown)
-        one = not ranges and len({(f.value, currencies(f.marker)) for f in shown}) == 1
+        one = not range_ends(text) and len({(f.value, currencies(f.marker)) for f in shown}) == 1
         out.append(Price(node, len(shown), shown[0].value if one else None, shown[0].marker if one else None, current, former, struck, other))
     return out
 

@@ -4,13 +4,13 @@ import hashlib
 import json
 from datetime import datetime
 
-from plumbline.functions.amounts import amounts_column, currencies, marked_amounts, only_amount, only_amount_column, positive_quantity, strict_amount
+from plumbline.functions.amounts import amounts_column, currencies, deposit, hinted_currency, marked_amounts, only_amount, only_amount_column, positive_quantity, replayed_amount, scaled_decimal, strict_amount
 from plumbline.functions.hashing import canonical_map, stable_id
 from plumbline.functions.media import bare_media_type, charset_of, decode, media_type_of_path
 from plumbline.functions.terms import market_currency, recurring_basis, retry_delay, term_months
 from plumbline.functions.text import CELL_UNITS, bare_name, cell_text, comparable, comparable_column, scripts, sheet_number
 from plumbline.functions.times import expired, freshness, zoned_time
-from plumbline.functions.urls import canonical_url, canonical_url_column, host, host_allowed, item_identity, without_secrets
+from plumbline.functions.urls import canonical_url_column, host, host_allowed, item_identity, without_secrets
 from pyspark.sql import functions as F
 
 
@@ -38,14 +38,33 @@ def test_marked_amounts(spark):
     assert column(spark, ["5원", None], amounts_column)[1] == [] and column(spark, ["5원"], only_amount_column)[0].value == "5"
 
 
+def test_amount_readings(spark):
+    texts = {
+        "€10 €20": ["10", "20"], "10 USD 20 USD": ["10", "20"], "10 20 USD": ["20"], "1.2.3 USD": [], "USD": [], "5$": [], "12 273,61\u00a0€": ["273.61"], "12\u00a0273,61 €": ["12273.61"],
+        "KRW 1,234,567.5": ["1234567.5"], "3만 5천원": [], "LKB-54919 12,273.61 USD": ["12273.61"], "1.234 €": ["1.234"], "1.234원": ["1234"], "12,34,567원": [], "usd 5": ["5"],
+    }
+    assert {t: [f.value for f in marked_amounts(t)] for t in texts} == texts
+    assert [only_amount(t)[1] for t in ("3~5만원", "$5 - $9", "2026-03-26 5원", "from $5", "$5 from here", "5원~", "3-5 days, 10 USD", "10 USD, 10 USD")] == ["range", "range", None, "starting_price", None, "starting_price", None, None]
+    assert replayed_amount("$ 5") == "5" and replayed_amount("5원 6원") is None and replayed_amount(None) is None and replayed_amount(" 3만원 ") == "30000"
+    df = spark.createDataFrame([("$", "usd"), ("$", "KRW"), ("원", None), ("EUR", "usd"), ("?", "usd"), (None, None)], "m string, h string")
+    assert [r[0] for r in df.select(hinted_currency(F.col("m"), F.col("h"))).collect()] == ["USD", None, "KRW", "EUR", None, None]
+    got = column(spark, ["보증금 300,000원 월 5원", "deposit: 5 USD, deposit 6 USD", "none", None, "Kaution 5 EUR oder 6 EUR"], deposit)
+    assert [tuple(g) for g in got] == [(None, "several"), (None, "several_labels"), (None, "no_label"), (None, "no_label"), (None, "several")]
+    assert tuple(column(spark, ["The deposit of 1,200 USD is returned"], deposit)[0]) == ("1200", None)
+    assert [x and float(x) for x in column(spark, ["1,234.5", "3만", "1,23", "x", None, "0"], lambda v: scaled_decimal(v, F.lit(10)))] == [12345.0, 300000.0, None, None, None, 0.0]
+
+
 def test_urls(spark):
     cases = {
         "HTTPS://Shop.Example:443/a?q=1#f": "https://shop.example/a?q=1", "http://a.example": "http://a.example/", "http://a.example:8080/": "http://a.example:8080/",
         "https://bücher.example/": "https://xn--bcher-kva.example/", "ftp://a.example/": None, "https://u:p@a.example/": None, "https://localhost/": None,
         "https://10.0.0.1/": None, "https://8.8.8.8/x": "https://8.8.8.8/x", "https://a b.example/": None, "": None, "https://a..example/": None, "https://-a.example/": None,
     }
-    assert {u: canonical_url(u) for u in cases} == cases and canonical_url(None) is None and canonical_url("https://a.example/" + "x" * 3000) is None
-    assert column(spark, list(cases), canonical_url_column) == list(cases.values())
+    cases |= {
+        "https://a.example/" + "x" * 3000: None, "https://a.example:99999/": None, "https://a.example:0/": None, "https://[2001:DB9::1]/x": "https://[2001:db9::1]/x", "https://[::1]/": None,
+        "https://192.168.1.1/": None, "https://1.2.3/": None, "http://a.example:80/p?x#y": "http://a.example/p?x", "https://a.example./": "https://a.example/", "//a.example/": None,
+    }
+    assert dict(zip(cases, column(spark, list(cases), canonical_url_column), strict=True)) == cases and column(spark, [None], canonical_url_column) == [None]
     urls = ["https://U:p@Shop.Example:8/a/b/?SKU=7&x=1#f", "https://a.example", None]
     assert column(spark, urls, host) == ["shop.example", "a.example", None]
     assert column(spark, urls, without_secrets) == ["https://Shop.Example:8/a/b/", "https://a.example", None]
