@@ -459,19 +459,21 @@ def with_untitled(pages: list[list[tuple[str, int]]]) -> list[list[tuple[str, in
     return [*pages, *(b for b, page in zip(bare, pages, strict=True) if len(b) < len(page))]
 
 
-def train(pages: list[list[tuple[str, int]]], folds: int = 20, words: bool = True) -> Model:
-    """A model from labelled pages, each also in its plain form; without ``words`` none that knows no word.
+def train(pages: list[list[tuple[str, int]]], others: list[list[tuple[str, int]]] = [], folds: int = 20, words: bool = True) -> Model:  # noqa: B006
+    """A model from labelled pages, each also in its plain form; without ``words`` one that knows no word. ``others`` are pages of which
+    only the layout is learned, not the words.
 
     While the trees are grown, the word uses of a page come from the other pages, so that they learn how far to trust them.
     """
+    spoken, pages = len(pages), [*pages, *others]
     both = [p for page in pages for p in ((page, without_tags(page)) if any("<" in line for line, _ in page) else (page,))]
     number = [k for k, page in enumerate(pages) for _ in range(2 if any("<" in line for line, _ in page) else 1)]
-    forms = [without_tags(page) for page in both]
+    forms = [without_tags(page) for page, k in zip(both, number, strict=True) if k < spoken]
     x: dict[tuple[bool, bool, int, int], list] = {}
     y: dict[tuple[bool, bool, int, int], list] = {}
     for fold in range(folds + 1) if words else (folds,):
         # In the last round no word is known, as in a page that is garbled beyond repair.
-        uses = Uses.learn([form for k, form in zip(number, forms, strict=True) if k % folds != fold]) if fold < folds else Uses({})
+        uses = Uses.learn([form for k, form in zip(number, forms, strict=False) if k % folds != fold]) if fold < folds else Uses({})
         chosen = [page for k, page in zip(number, both, strict=True) if k % folds == fold or fold == folds]
         if not chosen:
             continue
@@ -488,7 +490,9 @@ def train(pages: list[list[tuple[str, int]]], folds: int = 20, words: bool = Tru
 
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return train([*labelled_pages(), *with_untitled(labelled_pages(TABLES[1]))])
+    layouts = labelled_layouts()
+    closed = [page for name, page in layouts if name == "sign-in"]
+    return train([*labelled_pages(), *closed], with_untitled([page for name, page in layouts if name != "sign-in"]))
 
 
 class Classifier:

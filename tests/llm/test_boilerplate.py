@@ -142,7 +142,7 @@ def test_pages_of_other_layouts():
     names = sorted({n for n, _ in layouts} - {"sign-in"})
     assert len(names) == 10
     for name in names[::3]:
-        model = train([*labelled_pages()[::2], *with_untitled([p for n, p in layouts if n != name])], folds=4)
+        model = train(labelled_pages()[::2], with_untitled([p for n, p in layouts if n != name]), folds=4)
         precision, recall = measured(model, [p for n, p in layouts if n == name])
         assert precision > 0.5 and recall > 0.5, (name, precision, recall)
 
