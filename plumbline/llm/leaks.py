@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 import sys
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 #: Words of an item that a document must hold in a row.
 RUN = 12
-#: Items are searched in blocks of about so many characters of patterns, so that the tables fit into every worker.
-BLOCK_CHARS = 4_000_000
+#: Items are searched in blocks of about so many characters of patterns, and so many blocks in one pass over the corpus, so that the
+#: tables of a pass fit into every worker: some 30,000 items of 1,000 characters a pass.
+BLOCK_CHARS, PASS_BLOCKS = 4_000_000, 8
 
 # Characters that don't count within a word: punctuation, symbols, controls and marks without width.
 _SILENT = {
@@ -120,6 +123,17 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, run: int) -> Iter
         yield block
 
 
+#: The searchers of the last pass that this worker has seen, by the pass's name: a worker runs many tasks of one pass.
+_SEARCHERS: dict[str, list[tuple[WuManber, dict[str, set[int]]]]] = {}
+
+
+def _searchers(name: str, blocks: list[dict[str, set[int]]]) -> list[tuple[WuManber, dict[str, set[int]]]]:
+    if name not in _SEARCHERS:
+        _SEARCHERS.clear()
+        _SEARCHERS[name] = [(WuManber(runs), runs) for runs in blocks]
+    return _SEARCHERS[name]
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, *, run: int = RUN,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -130,7 +144,8 @@ def leaked_items(
     items with fewer words than ``run`` are held by nothing, null ids are left out, repeated rows and items count once.
 
     The corpus is read where it lies and not shuffled; only found pairs are, to make them distinct. Items are the
-    stated query set: their runs go to the workers in blocks of bounded size, with one pass over the corpus for each.
+    stated query set: their runs pass the driver one partition at a time and go to the workers in blocks of bounded size. Several blocks
+    are searched in one pass over the corpus, whose words are made plain once for all of them.
     """
     spark = documents.sparkSession
     kinds = [(n, d.schema[n].dataType.simpleString()) for d, n in ((documents, id_col), (items, item_col))]
@@ -140,20 +155,21 @@ def leaked_items(
         F.col(id_col).isNotNull() & (F.length("__text") > 0)
     )
     found = []
-    for block in _item_blocks(items, item_col, item_text_col, run):
-        shared = spark.sparkContext.broadcast(block)
+    blocks = _item_blocks(items, item_col, item_text_col, run)
+    while group := list(islice(blocks, PASS_BLOCKS)):
+        shared = spark.sparkContext.broadcast(group)
+        name = uuid.uuid4().hex
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            runs = shared.value
-            searcher = WuManber(runs)
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            searchers = _searchers(name, shared.value)
             for batch in batches:
                 docs, held = [], []
                 texts = batch.column(1)
                 for k, doc in enumerate(batch.column(0).to_pylist()):
-                    hits = searcher.search(f" {' '.join(plain_words(texts[k].as_py()))} ")
-                    for item in sorted({i for h in hits for i in runs[h]}):
-                        docs.append(doc)
-                        held.append(item)
+                    plain = f" {' '.join(plain_words(texts[k].as_py()))} "
+                    hits = {i for searcher, runs in searchers for h in searcher.search(plain) for i in runs[h]}
+                    held += sorted(hits)
+                    docs += [doc] * len(hits)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, id_type), pa.array(held, item_type)], [id_col, item_col])
 
         found.append(corpus.mapInArrow(find, schema))

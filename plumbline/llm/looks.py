@@ -33,11 +33,24 @@ LOOKALIKES = {
     "υ": "u",
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Օ": "O", "Ս": "U",
+    # Greek and Cyrillic forms of other times
+    "γ": "y", "ϒ": "Y", "Ѵ": "V", "Ϝ": "F", "ϕ": "φ",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V",
+    "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Coptic
+    "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲏ": "H", "Ⲧ": "T",
+    # small capitals that are drawn as the small letter
+    "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
     # others
     "ɡ": "g", "ɑ": "a", "ı": "i", "µ": "μ",
 }
-# Hyphens, dots and quotes that are drawn alike.
-SIGNS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "⁃": "-", "․": ".", "‥": "..", "…": "...", "’": "'", "‘": "'", "ʼ": "'", "＇": "'"}
+# Hyphens, dots, quotes, slashes and colons that are drawn alike. The en dash is longer than a hyphen and curly double quotes
+# are drawn unlike straight ones: both stay.
+SIGNS = {"∕": "/", "⁄": "/", "∶": ":", "‧": "·", "ꞏ": "·", "⋅": "·", "∙": "·", "′": "'", "ʹ": "'", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "⁃": "-", "․": ".", "‥": "..", "…": "...", "’": "'", "‘": "'", "ʼ": "'", "＇": "'"}
 
 #: Format characters that are drawn; all others of category Cf are invisible.
 _DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -100,12 +113,12 @@ def _properties() -> tuple[dict[str, str], re.Pattern[str]]:
 def _canonical_segment(segment: str) -> str:
     """A boundary character and a run of unstable characters, normalised. Looks may name further ones: until it settles."""
     looks = _properties()[0]
-    for _ in range(4):
-        changed = unicodedata.normalize("NFC", "".join(looks.get(c, c) for c in unicodedata.normalize("NFC", segment)))
-        if changed == segment:
-            break
-        segment = changed
-    return segment
+    seen = {segment}
+    while True:
+        segment = unicodedata.normalize("NFC", "".join(looks.get(c, c) for c in unicodedata.normalize("NFC", segment)))
+        if segment in seen:
+            return segment
+        seen.add(segment)
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -170,34 +183,36 @@ def look_keys(
     return wanted.mapInArrow(hashes, f"{kinds}, form binary, raw binary")
 
 
-def same_looks(keys: DataFrame) -> DataFrame:
-    """``id_a, id_b`` (a < b): different ids whose texts look the same but are not the same string.
+def same_looks(keys: DataFrame, kinds: Sequence[str] = ()) -> DataFrame:
+    """``kinds, id_a, id_b`` (a < b): different ids whose texts look the same but are not the same string.
 
-    ``keys``: ``id, form, raw``, one row or more for each text. Equal strings are one class; classes of one form are
-    paired, and then their members. So a page that was fetched a million times unchanged and once with another space gives
-    a million rows and no comparison among the million. Repeated rows count once.
+    ``keys``: ``id, form, raw`` and the columns ``kinds``, one row or more for each text; only texts of one kind are paired.
+    Equal strings are one class; classes of one form are paired, and then their members. So a page that was fetched a million times
+    unchanged and once with another space gives a million rows and no comparison among the million. Repeated rows count once.
     """
+    by = [*kinds, "form"]
     # Read five times below; the hashes are small, the texts behind them are not read again.
-    keys = cut_lineage(keys.select("id", "form", "raw").distinct())
-    classes = keys.groupBy("form", "raw").agg(F.count("*").alias("n"))
-    varied = classes.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high").select("form")
-    several = classes.join(varied, "form").select("form", "raw")
-    ties = several.select("form", F.col("raw").alias("ra")).join(several.select("form", F.col("raw").alias("rb")), "form").where("ra < rb")
-    sides = ties.join(keys.select("form", F.col("raw").alias("ra"), F.col("id").alias("x")), ["form", "ra"]).join(
-        keys.select("form", F.col("raw").alias("rb"), F.col("id").alias("y")), ["form", "rb"]
+    keys = cut_lineage(keys.select("id", *by, "raw").distinct())
+    classes = keys.select(*by, "raw").distinct()
+    varied = classes.groupBy(*by).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high").select(*by)
+    several = classes.join(varied, by)
+    ties = several.select(*by, F.col("raw").alias("ra")).join(several.select(*by, F.col("raw").alias("rb")), by).where("ra < rb")
+    sides = ties.join(keys.select(*by, F.col("raw").alias("ra"), F.col("id").alias("x")), [*by, "ra"]).join(
+        keys.select(*by, F.col("raw").alias("rb"), F.col("id").alias("y")), [*by, "rb"]
     )
-    return sides.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return sides.where("x <> y").select(*kinds, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def look_alikes(products: DataFrame, captures: DataFrame) -> DataFrame:
     """``kind, id_a, id_b`` of products by name and of captures by their whole content; see :func:`same_looks`.
 
     Of repeated deliveries of a capture the one with the latest ``ingested_at`` stands. Null names and contents look like
-    nothing.
+    nothing. Building it runs one job, which reads both tables and writes the hashes; both kinds are joined together.
     """
     names = look_keys(products, "product_id", "name")
     pages = look_keys(captures, "capture_id", "content", "media_type", ["ingested_at"])
     latest = pages.groupBy("capture_id").agg(F.max(F.struct("ingested_at", "form", "raw")).alias("v"))
-    return same_looks(names.withColumnRenamed("product_id", "id")).select(F.lit("product").alias("kind"), "id_a", "id_b").unionByName(
-        same_looks(latest.select(F.col("capture_id").alias("id"), "v.form", "v.raw")).select(F.lit("capture").alias("kind"), "id_a", "id_b")
+    keys = names.select(F.lit("product").alias("kind"), F.col("product_id").alias("id"), "form", "raw").unionByName(
+        latest.select(F.lit("capture").alias("kind"), F.col("capture_id").alias("id"), "v.form", "v.raw")
     )
+    return same_looks(keys, ["kind"]).select("kind", "id_a", "id_b")
