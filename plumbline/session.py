@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,7 @@ def build_session(app: str = "plumbline", cores: int | str = "*", shuffle_partit
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": os.environ.get("PLUMBLINE_DRIVER_MEMORY", "8g"),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | extra
@@ -57,13 +59,61 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, key: str, max_rows: int = 100_000) -> DataFrame:
-    """A broadcast hint for ``df`` only if a count shows at most ``max_rows`` rows; the plain frame otherwise.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder, removed when the driver ends in good order."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_remove_folders)
+    _FOLDERS.append((spark, place))
+    return place
 
-    The count stops after ``max_rows + 1`` rows. Without the hint Spark shuffles the join, which holds at any size.
+
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def _remove_folders() -> None:
+    for spark, place in _FOLDERS:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)  # noqa: SLF001
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+        except Exception:  # noqa: BLE001, S110 - the session is gone already, and the folder stays
+            pass
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: like :func:`cut_lineage`, but later reads take only the columns they need."""
+    place = shared_folder(df.sparkSession, "table")
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+#: Bytes up to which a table may be sent to every executor.
+BROADCAST_BYTES = 32_000_000
+
+
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory, by the actual lengths of its texts and arrays."""
+    total = F.lit(16)
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        value = F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(value), F.lit(0)) + 8
+        elif kind in ("array", "map"):
+            total = total + 16 * F.greatest(F.size(value), F.lit(1))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def broadcast_if_small(df: DataFrame, key: str, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for ``df`` only if it has at most ``max_rows`` rows of at most ``max_bytes`` in all; the plain frame otherwise.
+
+    One job reads ``max_rows + 1`` rows at most and sums their widths, so ``df`` should be a table or a frame whose lineage is cut:
+    what is costly to compute would be computed twice. Without the hint Spark shuffles the join, which holds at any size.
     """
-    few = df.select(key).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    seen = df.select(_width(df).alias("w")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    return F.broadcast(df) if seen.n <= max_rows and seen.w <= max_bytes else df
 
 
 def ship_package(spark: SparkSession) -> None:
