@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from plumbline.llm.spans import SharedSpans, code_points, paragraphs_around, shared_spans, signatures, sliding_minimum, window_hashes
+from plumbline.llm.spans import SharedSpans, agreement, code_points, paragraphs_around, shared_spans, signatures, sliding_minimum, surroundings, window_hashes
 
 from tests.conftest import rows
 
@@ -135,3 +135,12 @@ def test_paragraphs_meet_once():
             meet = any(ka == kb and (fa != fb or fa == -1) for ka, fa in rows_a for kb, fb in rows_b)
             share = any(gram in a[i : i + 8] and a[i : i + 8] in b for i in range(len(a) - 7))
             assert meet == share, (a, b, gram)
+
+
+def test_surroundings():
+    for text, starts in (("q" * 5000, [(0, 4970)]), ("ab" * 40, None), ("x" * 10 + "q" * 29, None)):
+        grams = np.unique(window_hashes(code_points(text), 20)).view(np.int64)
+        found = surroundings(text, grams, 30, 20)
+        assert len(found) <= 14 and (starts is None or [r for f in found for r in f.starts] == starts), (text[:20], found)
+        assert all(text[s : s + 20] == f.shown[f.lead : f.lead + 20] for f in found for s, _ in f.starts)
+    assert agreement("aXYZb", 1, "cXYZb", 1, 3) == (0, 1) and agreement("aXYZb", 1, "aXYWb", 1, 3) is None and agreement("XYZ", 0, "aXYZ", 1, 3) == (0, 0)
