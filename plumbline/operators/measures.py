@@ -1,7 +1,7 @@
 """Pack contents and prices in common units, and rows that state the same offer.
 
-Texts are taken apart with JVM expressions. The spellings found in them are mapped to units once, as a dictionary of the
-distinct spellings (see :mod:`plumbline.functions.units`), which is joined to all rows.
+Texts are taken apart with JVM expressions, each distinct text of a unit, pack or basis once. The spellings found in them are mapped to
+units as a dictionary of the distinct spellings (see :mod:`plumbline.functions.units`); both are joined to all rows.
 """
 
 from __future__ import annotations
@@ -52,41 +52,47 @@ def _group(parts: str, g: int) -> Column:
     return F.nullif(F.col(parts)[g - 1], F.lit(""))
 
 
-def _quantity(parts: str, separator: Column, prefix: str) -> list[Column]:
-    """Columns ``<prefix>_n`` (product of the numbers, null if one can't be read), ``<prefix>_has`` (whether there are
-    numbers) and ``<prefix>_u`` (spelling of the unit, null if there is none) of the groups of a quantity."""
-    numbers = [_group(parts, g) for g in (1, 2, 4)]
-    parsed = [F.when(n.isNull(), F.lit(1.0)).otherwise(parse_number(n, separator)) for n in numbers]
-    return [
-        reduce(lambda a, b: a * b, parsed).alias(f"{prefix}_n"),
-        (numbers[0].isNotNull() | numbers[1].isNotNull()).alias(f"{prefix}_has"),
-        F.nullif(_group(parts, 3), F.lit("-")).alias(f"{prefix}_u"),
-    ]
+def _plain(text: Column) -> Column:
+    """Whether a text is nothing but a number: then no pattern has to be matched."""
+    return (F.translate(text, "0123456789.,", "") == "") & F.translate(text, ".,", "").between("0", ":")
 
 
-def read_offers(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """The parts of the texts of catalog rows, unit spellings as written. A source without a row writes ``.``.
+def _stated_basis(price: Column, basis: Column) -> Column:
+    """The text of the basis: what stands behind the price after a slash or "per", else the column's."""
+    in_price = F.when(price.contains("/") | price.contains("per"), F.nullif(F.regexp_extract(price, _PRICE, 3), F.lit("")))
+    return F.coalesce(in_price, basis)
 
-    Every text is matched once; what follows works on its parts.
+
+def quantity_dictionary(offers: DataFrame) -> DataFrame:
+    """``text, basis, n_point, n_comma, has, spelled, dimension, size``: the distinct texts of units, packs and bases, each matched once.
+
+    ``n`` is the product of the numbers in a text, as either decimal separator reads it (null if one can't be read), ``has`` whether
+    there are numbers, ``spelled`` whether there is a unit, ``dimension`` and ``size`` what unit that is. Packs that are plain numbers
+    are left out. As many rows as there are ways to write a unit with its numbers.
     """
-    separators = sources.groupBy("source_id").agg(F.max("decimal_separator").alias("__sep"))
-    df = rows.select(
-        "row_id", "source_id", "model", "currency", "ingested_at", "unit", "pack_quantity", "price", "price_basis"
-    ).join(broadcast_if_small(separators, "source_id"), "source_id", "left")
-    keep = ["row_id", "ingested_at", "model", "currency", "__sep"]
-    matched = df.select(
-        *keep, "price_basis", _groups(F.col("unit"), _QUANTITY, 4).alias("unit"), _groups(F.col("pack_quantity"), _QUANTITY, 4).alias("pack"),
-        _groups(F.col("price"), _PRICE, 3).alias("price"),
-    )
-    basis = F.regexp_extract(F.coalesce(_group("price", 3), "price_basis"), _BASIS, 1)
-    based = matched.select(*keep, "unit", "pack", "price", basis.alias("stated")).select("*", _groups(F.col("stated"), _QUANTITY, 4).alias("basis"))
-    sep = F.coalesce("__sep", F.lit("."))
-    scale = F.translate(_group("price", 2), " \t", "")
-    worth = reduce(lambda e, kv: e.when(scale == kv[0], F.lit(kv[1])), SCALES.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(1.0))
-    return based.select(
-        *keep[:-1], *_quantity("unit", sep, "unit"), *_quantity("pack", sep, "pack"), *_quantity("basis", sep, "basis"),
-        (parse_number(_group("price", 1), sep) * worth).alias("amount"),
+    part = lambda text, basis: F.struct(text.alias("text"), F.lit(basis).alias("basis"))
+    pack = F.when(~_plain(F.col("pack_quantity")), F.col("pack_quantity"))
+    parts = F.array(part(F.col("unit"), False), part(pack, False), part(_stated_basis(F.col("price"), F.col("price_basis")), True))
+    texts = offers.select(F.inline(parts)).where("text IS NOT NULL").distinct()
+    matched = texts.select("*", _groups(F.when(F.col("basis"), F.regexp_extract("text", _BASIS, 1)).otherwise(F.col("text")), _QUANTITY, 4).alias("q"))
+    numbers = [_group("q", g) for g in (1, 2, 4)]
+
+    def product(separator: str) -> Column:
+        return reduce(lambda a, b: a * b, [F.when(n.isNull(), F.lit(1.0)).otherwise(parse_number(n, F.lit(separator))) for n in numbers])
+
+    # Cut off from the rows: it is used for the spellings and three times for the rows, and must be made once.
+    parsed = cut_lineage(
+        matched.select(
+            "text", "basis", product(".").alias("n_point"), product(",").alias("n_comma"), (numbers[0].isNotNull() | numbers[1].isNotNull()).alias("has"),
+            F.nullif(_group("q", 3), F.lit("-")).alias("spelling"),
+        )
     )
+    units = alias_dictionary(parsed.select("spelling").distinct()).select("spelling", "dimension", "size")
+    return cut_lineage(
+        parsed.join(broadcast_if_small(cut_lineage(units), "spelling"), "spelling", "left").select(
+            "text", "basis", "n_point", "n_comma", F.coalesce("has", F.lit(False)).alias("has"), F.col("spelling").isNotNull().alias("spelled"), "dimension", "size"
+        )
+    )
 
 
 def normalize_offers(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -99,37 +105,48 @@ def normalize_offers(rows: DataFrame, sources: DataFrame) -> DataFrame:
     * the price is missing, no number, not positive, or its basis is missing or of another dimension;
     * the basis is one ``each`` and no unit is stated.
 
-    Of repeated deliveries the one with the latest ``ingested_at`` stands. Further columns are ignored. Unit spellings
-    are mapped over all rows; a unit nobody knows leaves its rows unknown rather than guessed.
+    A source without a row in ``sources`` writes ``.`` for decimals. Of repeated deliveries the one with the latest
+    ``ingested_at`` stands. Further columns are ignored. Unit spellings are mapped over all rows; a unit nobody knows leaves its
+    rows unknown rather than guessed.
+
+    Building it runs jobs: texts of units, packs and bases are matched once each as a dictionary of the distinct ones
+    (:func:`quantity_dictionary`) that is joined to the rows; only prices are matched row by row.
     """
-    parts = read_offers(rows, sources)
-    spelled = parts.select(F.explode(F.array_distinct(F.array("unit_u", "pack_u", "basis_u"))).alias("spelling"))
-    # Distinct spellings, cut off from the rows: the dictionary is used three times and must be made once.
-    units = cut_lineage(alias_dictionary(spelled))
-    small = broadcast_if_small(units, "spelling")
-    for p in ("unit", "pack", "basis"):
-        named = small.select(
-            F.col("spelling").alias(f"{p}_u"), F.col("dimension").alias(f"{p}_dim"), F.col("size").alias(f"{p}_size")
+    separators = sources.groupBy("source_id").agg(F.max("decimal_separator").alias("__sep"))
+    offers = rows.select("row_id", "source_id", "model", "currency", "ingested_at", "unit", "pack_quantity", "price", "price_basis")
+    known = broadcast_if_small(quantity_dictionary(offers), "text")
+    comma = F.coalesce(F.col("__sep") == ",", F.lit(False))
+    parts = offers.join(broadcast_if_small(separators, "source_id"), "source_id", "left").select(
+        "row_id", "ingested_at", "model", "currency", "__sep", "unit", _plain(F.col("pack_quantity")).alias("plain"), "pack_quantity",
+        _stated_basis(F.col("price"), F.col("price_basis")).alias("stated"), _groups(F.col("price"), _PRICE, 3).alias("priced"),
+    )
+    for name, key, basis in (("unit", F.col("unit"), False), ("pack", F.when(~F.col("plain"), F.col("pack_quantity")), False), ("basis", F.col("stated"), True)):
+        side = known.where(F.col("basis") == basis).select(
+            F.col("text").alias(f"{name}_text"), *[F.col(c).alias(f"{name}_{c}") for c in ("n_point", "n_comma", "has", "spelled", "dimension", "size")]
         )
-        parts = parts.join(named, f"{p}_u", "left")
-    measured = ~F.col("unit_dim").isin("package", "each")
-    unit_dim = F.when(measured, F.col("unit_dim"))
-    unit_size = F.when(measured, F.col("unit_n") * F.col("unit_size"))
-    own = ~F.col("pack_dim").isin("package", "each")
-    dimension = F.when(F.col("pack_u").isNull(), unit_dim).when(own, F.col("pack_dim"))
-    content = F.when(
-        F.col("pack_has"),
-        F.when(F.col("pack_u").isNull(), F.col("pack_n") * unit_size).when(own, F.col("pack_n") * F.col("pack_size")),
-    )
+        parts = parts.withColumn("__key", key).join(side, F.col("__key") == F.col(f"{name}_text"), "left").drop("__key", f"{name}_text")
+    number = lambda name: F.when(comma, F.col(f"{name}_n_comma")).otherwise(F.col(f"{name}_n_point"))
+    pack_n = F.when(F.col("plain"), parse_number(F.col("pack_quantity"), F.col("__sep"))).otherwise(number("pack"))
+    pack_has, pack_spelled = F.coalesce("plain", F.lit(False)) | F.coalesce("pack_has", F.lit(False)), F.coalesce("pack_spelled", F.lit(False))
+    scale = F.translate(_group("priced", 2), " \t", "")
+    worth = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), scale), F.lit(1.0))
+    amount = parse_number(_group("priced", 1), F.col("__sep")) * worth
+
+    measured = ~F.col("unit_dimension").isin("package", "each")
+    unit_dim = F.when(measured, F.col("unit_dimension"))
+    unit_size = F.when(measured, number("unit") * F.col("unit_size"))
+    own = ~F.col("pack_dimension").isin("package", "each")
+    dimension = F.when(~pack_spelled, unit_dim).when(own, F.col("pack_dimension"))
+    content = F.when(pack_has, F.when(~pack_spelled, pack_n * unit_size).when(own, pack_n * F.col("pack_size")))
     # What the price buys, in the base unit of the content's dimension.
     buys = (
-        F.when(F.col("basis_dim") == "package", content)
-        .when((F.col("basis_dim") == "each") & (unit_dim == dimension), unit_size)
-        .when(F.col("basis_dim") == dimension, F.col("basis_n") * F.col("basis_size"))
+        F.when(F.col("basis_dimension") == "package", content)
+        .when((F.col("basis_dimension") == "each") & (unit_dim == dimension), unit_size)
+        .when(F.col("basis_dimension") == dimension, number("basis") * F.col("basis_size"))
     )
     priced = parts.select(
         "row_id", "ingested_at", "model", "currency", dimension.alias("dimension"), content.alias("content"),
-        F.when(buys > 0, F.col("amount") / buys).alias("unit_price"),
+        F.when(buys > 0, amount / buys).alias("unit_price"),
     )
     told = F.coalesce((F.col("content") > 0) & (F.col("unit_price") > 0), F.lit(False))
     return latest_per_key(priced, ["row_id"], ["ingested_at"]).select(
