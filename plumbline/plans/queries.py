@@ -313,18 +313,20 @@ def names_linked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT product_id, price_profile, lower(name) AS n FROM products GROUP BY ALL)
-    SELECT DISTINCT a.product_id AS short_id, b.product_id AS long_id FROM p a JOIN p b ON a.price_profile = b.price_profile
-    WHERE a.product_id <> b.product_id AND a.n <> b.n AND length(a.n) >= 6 AND contains(b.n, a.n)"""
+    """WITH p AS (SELECT DISTINCT p_type, p_brand, lower(p_name) AS n FROM part)
+    SELECT DISTINCT a.p_type, a.n AS short_name, b.n AS long_name, a.p_brand AS short_brand, b.p_brand AS long_brand FROM p a JOIN p b ON a.p_type = b.p_type
+    WHERE a.n <> b.n AND length(a.n) >= 6 AND contains(b.n, a.n)"""
 )
 def contained_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Products whose whole name is a part of another's, within a price profile."""
-    names = table(spark, folder, "products", "product_id", "price_profile", "name").distinct()
-    left = names.select("price_profile", F.col("product_id").alias("a_id"), F.lower("name").alias("a_name"))
-    right = names.select("price_profile", F.col("product_id").alias("b_id"), F.lower("name").alias("b_name"))
-    pairs = containment_pairs(left, right, ["price_profile"], "a_name", "b_name").where("a_id <> b_id AND a_name <> b_name")
+    """Parts whose whole name is a part of another's, within a type ("old anvil" in "cold anvil")."""
+    names = table(spark, folder, "part", "p_type", "p_brand", "p_name").distinct()
+    left = names.select("p_type", F.col("p_brand").alias("a_brand"), F.lower("p_name").alias("a_name"))
+    right = names.select("p_type", F.col("p_brand").alias("b_brand"), F.lower("p_name").alias("b_name"))
+    pairs = containment_pairs(left, right, ["p_type"], "a_name", "b_name").where("a_name <> b_name")
     a_short = F.char_length("a_name") < F.char_length("b_name")
-    return pairs.select(F.when(a_short, F.col("a_id")).otherwise(F.col("b_id")).alias("short_id"), F.when(a_short, F.col("b_id")).otherwise(F.col("a_id")).alias("long_id")).distinct()
+    pick = lambda c: (F.when(a_short, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(a_short, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")))
+    names_of, brands = pick("name"), pick("brand")
+    return pairs.select("p_type", names_of[0].alias("short_name"), names_of[1].alias("long_name"), brands[0].alias("short_brand"), brands[1].alias("long_brand")).distinct()
 
 
 # Example rules, one exact and several patterns for sites.

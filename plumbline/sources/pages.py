@@ -500,21 +500,88 @@ def _single_row(text: str) -> list[tuple[str, str | None, str | None]]:
     return [(name, *only)]
 
 
+# How two shop platforms mark up a listing: its cards, and in them the name and the price.
+PLATFORMS = {
+    "cafe24": ("li[id^=anchorBoxId_]", (".name a", ".name"), (".spec", ".price", "ul")),
+    "woocommerce": ("li.product", (".woocommerce-loop-product__title", "h2", "h3"), (".price",)),
+}
+
+
+def _platform_rows(text: str) -> list[tuple[str, str, str | None, str | None]]:
+    """Platform, name, amount and marker of the cards of a listing of a known platform."""
+    tree, out = parse(text), []
+    for platform, (card, names, prices) in PLATFORMS.items():
+        for node in select(tree, card) if card.split("[")[0].split(".")[0] else ():
+            if not node.shown():
+                continue
+            name = next((t for s in names if (t := value(node, s))), None)
+            if platform == "woocommerce" and not any("woocommerce" in c or c.startswith("type-product") for n in [node, *node.elements()] for c in n.classes()):
+                continue
+            part = next((n for s in prices for n in select(node, s) if n.shown() and marked_amounts(n.text())), None)
+            if name:
+                out.append((platform, name, *(_chosen(_prices(part), part.text()) if part is not None else (None, None))))
+    return out
+
+
+def platform_cards(captures: DataFrame) -> DataFrame:
+    """``platform, name, amount, currency``: the cards of listings that a known shop platform made; see ``PLATFORMS``.
+
+    A card without one clear current price has a null amount.
+    """
+    return scan(captures, lambda text, url: _platform_rows(text), "platform:string,name:string,amount:string,currency:string")  # noqa: ARG005
+
+
+def _open_graph_row(text: str) -> list[tuple[str, str, str | None]]:
+    """Title, price and currency of a page's OpenGraph metadata, if it states both a title and a price."""
+    if "property" not in text:
+        return []
+    stated = {n.attrs["property"].lower(): n.attrs.get("content", "").strip() for n in select(parse(text), "meta[property]")}
+    price = next((v for k in ("product:sale_price:amount", "product:price:amount", "og:price:amount") if (v := stated.get(k))), None)
+    currency = next((v for k in ("product:sale_price:currency", "product:price:currency", "og:price:currency") if (v := stated.get(k))), None)
+    return [(stated["og:title"], price, currency)] if stated.get("og:title") and price else []
+
+
+def _headed_row(text: str) -> list[tuple[str, str | None, str | None]]:
+    """The product of a page's only ``h1``, if one clear price stands beside it, within its parent or the parent's: a product page, whatever
+    cards of other things it lists."""
+    heads = [n for n in select(parse(text), "h1") if n.shown() and n.text()]
+    if len(heads) != 1:
+        return []
+    around = heads[0].parent
+    for _ in range(2):
+        if around is None or around.tag in ("body", "html"):
+            return []
+        shown = around.text()
+        if marked_amounts(shown) and len(_prices(around)) <= 3:
+            amount = _chosen(_prices(around), shown)
+            return [(heads[0].text(), *amount)] if amount[0] else []
+        around = around.parent
+    return []
+
+
 def generic_records(captures: DataFrame) -> DataFrame:
-    """``method, name, amount, currency``: the records of any page, by the first of these that finds one: structured data
-    (``json_ld``, ``microdata``), repeated ``cards``, ``price_lines``, a ``single`` product.
+    """``method, name, amount, currency``: the records of any page, by the first of these that finds one: ``platform`` cards, structured data
+    (``json_ld``, ``microdata``), the ``heading`` with a price beside it, repeated ``cards``, ``price_lines``, the price of
+    ``open_graph`` metadata, a ``single`` product.
 
     A card or single product without one clear amount is a row with a null amount: a gap that is told.
     """
     def chain(text: str, url: str | None) -> list[tuple]:
+        found = [("platform", *row[1:]) for row in _platform_rows(text)]
+        if found:
+            return found
         found = [("json_ld", n or "", p or low, c) for n, _, p, low, _, c, _ in _find_json_ld(text, url) if p or low]
         if not found:
             items = [props for _, props in _find_microdata(text, url)]
             found = [("microdata", i["name"], i["price"], i.get("priceCurrency")) for i in items if i.get("name") and i.get("price")]
+        if not found:
+            found = [("heading", *row) for row in _headed_row(text)]
         if not found:
             found = [("cards", *row) for row in _card_rows(text)]
         if not found:
             found = [("price_lines", *row) for row in _find_price_lines(text, url)]
+        if not found:
+            found = [("open_graph", *row) for row in _open_graph_row(text)]
         return found or [("single", *row) for row in _single_row(text)]
 
     return scan(captures, chain, "method:string,name:string,amount:string,currency:string")
@@ -523,7 +590,7 @@ def generic_records(captures: DataFrame) -> DataFrame:
 #: The scans that a source may name; a closed list.
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "generic": generic_records, "json_ld": json_ld, "microdata": microdata, "embedded": embedded_records, "cards": repeated_cards,
-    "price_lines": price_lines, "tables": table_cells, "links": links,
+    "platform": platform_cards, "price_lines": price_lines, "tables": table_cells, "links": links,
 }
 
 

@@ -9,6 +9,7 @@ from decimal import Decimal
 import duckdb
 import pandas as pd
 import pytest
+from plumbline.plans import coverage, scans  # noqa: F401 - they register queries
 from plumbline.plans.queries import ORACLE, QUERIES
 
 
