@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from plumbline.operators.windows import carried_forward
 from plumbline.session import broadcast_if_small
 
 
@@ -60,32 +60,31 @@ def last_before(df: DataFrame, key: str, time: str, good: Column, value: str, na
     """As-of lookup within one table: ``name`` is the ``value`` of the newest strictly earlier row of the same key that is
     ``good``; null if there is none. Rows of the same time don't see each other.
 
-    One window over the key instead of a range join of the table with itself.
+    Values are carried forward in the order of the times instead of a range join of the table with itself; null keys are one key.
     """
     stamp = F.struct(F.col(time), *[F.col(t) for t in tie], F.col(value))
     # The best good row of each moment, then the last one of an earlier moment.
-    moments = df.groupBy(F.col(key).alias("__k"), F.col(time).alias("__t")).agg(F.max(F.when(good, stamp)).alias("__b"))
-    earlier = Window.partitionBy("__k").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    moments = moments.select("__k", "__t", F.last("__b", True).over(earlier).alias("__last"))
-    cond = df[key].eqNullSafe(moments["__k"]) & df[time].eqNullSafe(moments["__t"])
+    moments = df.groupBy(F.struct(F.col(key).alias("k")).alias("__k"), F.col(time).alias("__t")).agg(F.max(F.when(good, stamp)).alias("__b"))
+    moments = carried_forward(moments, "__k", [F.col("__t")], "__b", "__last", before=True)
+    cond = df[key].eqNullSafe(F.col("__k")["k"]) & df[time].eqNullSafe(F.col("__t"))
     return df.join(moments, cond, "left").select(*[df[c] for c in df.columns], F.col(f"__last.{value}").alias(name))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, values: Sequence[str]) -> DataFrame:
     """Each left row with ``values`` of the newest right row of its key at or before its time; null if there is none.
 
-    Both sides are unioned, sorted once within their key, and the last right row is carried forward: no pair of rows is
-    formed. Of right rows of one moment the greatest ``values`` stand. Null keys and times match nothing.
+    Both sides are unioned, sorted once by key and time, and the last right row is carried forward: no pair of rows is
+    formed, and a key with any number of rows is many tasks. Of right rows of one moment the greatest ``values`` stand. Null keys and times match nothing.
     """
     lefts = left.withColumns({"__t": F.col(time).cast("timestamp"), "__side": F.lit(1), "__r": F.lit(None).cast(_struct(right, values))})
     rights = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).groupBy(key, F.col(right_time).cast("timestamp").alias("__t")).agg(
         F.max(F.struct(*[F.col(v) for v in values])).alias("__r")
     )
     both = lefts.unionByName(rights.withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    seen = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.when(F.col(key).isNotNull() & F.col("__t").isNotNull(), F.last("__r", True).over(seen))
-    joined = both.withColumn("__last", last).where("__side = 1")
-    return joined.select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+    timed = both.where(F.col("__t").isNotNull())
+    joined = carried_forward(timed, key, [F.col("__t"), F.col("__side")], "__r", "__last").where("__side = 1")
+    untimed = lefts.where(F.col("__t").isNull()).withColumn("__last", F.lit(None).cast(_struct(right, values)))
+    return joined.select(*left.columns, "__last").unionByName(untimed.select(*left.columns, "__last")).select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
 def _struct(df: DataFrame, values: Sequence[str]) -> str:

@@ -56,15 +56,52 @@ def deterministic_sample(df: DataFrame, key: str, fingerprint: str, ratio: float
 
 
 def occurrence_suffix(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
-    """``name``: the key, with ``#2``, ``#3``, ... on its second, third, ... row in the order. Null keys stay null."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    later = F.concat(F.col(key), F.lit("#"), rn)
-    return df.withColumn(name, F.when(F.col(key).isNull(), None).when(rn == 1, F.col(key)).otherwise(later))
+    """``name``: the key, with ``#2``, ``#3``, ... on its second, third, ... row in the order. Null keys stay null.
+
+    Rows are numbered in the whole order by key and order, and a row's number within its key counts from the key's first: a key with any
+    number of rows is spread over many tasks.
+    """
+    ranked = global_rank(df, [F.col(key).asc_nulls_first(), *order], "__rank")
+    firsts = ranked.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("__rank").alias("__first"))
+    numbered = ranked.join(firsts, key, "left").withColumn("__rn", F.col("__rank") - F.col("__first") + 1)
+    later = F.concat(F.col(key), F.lit("#"), F.col("__rn"))
+    return numbered.select(*df.columns, F.when(F.col("__rn") == 1, F.col(key)).when(F.col("__rn") > 1, later).alias(name))
 
 
 def previous_value(df: DataFrame, key: str, order: Sequence[Column], value: str, name: str) -> DataFrame:
-    """``name``: the value of the row before, in the order, of the same key; null for the first."""
-    return df.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
+    """``name``: the value of the row before, in the order, of the same key (null keys are one); null for the first.
+
+    Rows are numbered in the whole order by key and order and joined with those one number before, so that no key is one task.
+    """
+    ranked = global_rank(df, [F.col(key).asc_nulls_first(), *order], "__rank")
+    before = ranked.select((F.col("__rank") + 1).alias("__rank"), F.col(key).alias("__key"), F.col(value).alias("__value"))
+    return ranked.join(before, "__rank", "left").select(*df.columns, F.when(F.col(key).eqNullSafe(F.col("__key")), F.col("__value")).alias(name))
+
+
+def carried_forward(df: DataFrame, key: str, order: Sequence[Column], value: str, name: str, *, before: bool = False) -> DataFrame:
+    """``name``: the last ``value`` that isn't null of the rows of a key up to a row in the order (``before`` it, if given); null if there is none
+    and for null keys.
+
+    Rows are range-partitioned by key and order and each partition is carried forward by itself. What the last key of a partition leaves
+    to the next ones is one small row a partition. So a key with a third of all rows is spread over many tasks.
+    """
+    ranged = cut_lineage(df.where(F.col(key).isNotNull()).repartitionByRange(F.col(key), *order).withColumn("__part", F.spark_partition_id()))
+    within = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    here = ranged.withColumn("__here", F.last(value, True).over(within))
+    # For each partition and its greatest key the last value; the partitions of one key follow each other.
+    greatest = ranged.groupBy("__part").agg(F.max(key).alias("__key"))
+    ends = ranged.join(F.broadcast(greatest), "__part").where(F.col(key) == F.col("__key")).withColumn(
+        "__left", F.last(value, True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ).groupBy("__part", "__key").agg(F.first("__left").alias("__left"))
+    carried = ends.withColumn("__left", F.last("__left", True).over(Window.partitionBy("__key").orderBy("__part")))
+    spans = ranged.select("__part", F.col(key).alias("__key")).groupBy("__part").agg(F.min("__key").alias("__key"))
+    # A partition's first key may go on from the partitions before it: the nearest of those that end in it.
+    into = spans.alias("s").join(carried.alias("c"), (F.col("s.__key") == F.col("c.__key")) & (F.col("c.__part") < F.col("s.__part"))).groupBy("s.__part", "s.__key").agg(
+        F.max_by("c.__left", "c.__part").alias("__in")
+    ).select(F.col("__part").alias("__into_part"), F.col("__key").alias("__into_key"), "__in")
+    joined = here.join(F.broadcast(into), (F.col("__part") == F.col("__into_part")) & (F.col(key) == F.col("__into_key")), "left")
+    known = joined.select(*df.columns, F.coalesce("__here", "__in").alias(name))
+    return known.unionByName(df.where(F.col(key).isNull()).withColumn(name, F.lit(None).cast(df.schema[value].dataType)))
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:

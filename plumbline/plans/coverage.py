@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.amounts import only_amount_column
+from plumbline.functions.evidence import literal_price, proven_value
 from plumbline.operators.coverage import (
     attention, counters_text, event_states, gap_items, locator_gaps, merge_counters, newest_before, not_allowed, page_status, refined_identity, refresh_reason,
     retry_batches, reuse_decisions, run_state, with_names,
@@ -245,3 +246,17 @@ def plain_prices(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "catalog_rows", "row_id", "ingested_at", "currency", "price").withColumn("p", F.concat("currency", F.lit(" "), F.translate("price", ",", ";")))
     rows = rows.where(F.col("p").isNull() | ~F.col("p").rlike(r"[0-9]") | F.col("p").rlike(r"^(KRW|USD|EUR) [0-9]+$"))
     return rows.select("row_id", "ingested_at", only_amount_column(F.col("p")).alias("a")).select("row_id", "ingested_at", "a.reason", "a.value")
+
+
+@query(
+    r"""WITH r AS (SELECT row_id, ingested_at, trim(price) AS p, trim(tax) AS t, decimal_separator FROM catalog_rows LEFT JOIN sources USING (source_id))
+    SELECT row_id, ingested_at, CASE WHEN regexp_full_match(p, '(\d{1,3}(,\d{3})+|\d+)\s*원') THEN replace(regexp_extract(p, '^([\d,]+)', 1), ',', '') END AS price,
+      CASE WHEN t = '부가세 포함' THEN 'included' END AS tax,
+      CASE WHEN regexp_full_match(p, '(월\s*)?(₩\s*)?(\d{1,3}(,\d{3})+|\d+)\s*(원|KRW)?\s*(~|～|부터)?') THEN CASE WHEN regexp_matches(p, '(~|～|부터)$') THEN 'from' ELSE 'listed' END END AS kind FROM r"""
+)
+def proven_offers(spark: SparkSession, folder: str) -> DataFrame:
+    """What the texts of catalog rows prove by declared rules, and how their prices are displayed."""
+    rows = table(spark, folder, "catalog_rows", "row_id", "ingested_at", "price", "tax")
+    rules = ("korean_won_amount", "korean_vat_included")
+    proven = lambda field, rule, raw: proven_value(F.lit(field), F.lit(rule), F.col(raw), rules).alias(field)
+    return rows.select("row_id", "ingested_at", proven("price", "korean_won_amount", "price"), proven("tax", "korean_vat_included", "tax"), literal_price(F.col("price"))["kind"].alias("kind"))

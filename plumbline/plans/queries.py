@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +25,7 @@ from plumbline.operators.sets import insert_if_absent, multiset_difference, unio
 from plumbline.operators.snapshots import refresh_changes
 from plumbline.operators.versions import latest_per_key
 from plumbline.operators.windows import batch_slices, deterministic_sample, occurrence_suffix, page, previous_value
-from plumbline.session import broadcast_if_small, ensure_checkpoint_dir
+from plumbline.session import broadcast_if_small, shared_folder
 from plumbline.sources.pages import css_rows, generic_records, links, price_lines, repeated_cards, snapshots
 from plumbline.sources.records import url_list
 from plumbline.sources.sinks import content_store
@@ -551,7 +550,7 @@ def url_list_status(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT url, max(fetched_at) AS fetched_at FROM captures WHERE status = 'fetched' GROUP BY url")
 def stream_baselines(spark: SparkSession, folder: str) -> DataFrame:
     """The newest fetched capture of each URL, kept by a stream that takes the files of the table one batch after another."""
-    place = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "stream")
     stream = stream_table(spark, folder, "captures")
     rows = stream.select("url", "fetched_at", "status")
     writer = advance_baselines(rows, f"{place}/table", f"{place}/progress", ["url"], "fetched_at", F.col("status") == "fetched")

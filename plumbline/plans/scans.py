@@ -176,7 +176,7 @@ def page_targets(spark: SparkSession, folder: str) -> DataFrame:
 @query(rf"""WITH {_STATES} SELECT DISTINCT capture_id, snapshot_no FROM t WHERE contains(shown, '<span class="price">')""")
 def pages_with_prices(spark: SparkSession, folder: str) -> DataFrame:
     """The states of pages on which a CSS rule finds a displayed price."""
-    return css_rows(_states(spark, folder), "html", {"price": "span.price"}).where("fields['price'] IS NOT NULL").select("capture_id", "snapshot_no").distinct()
+    return css_rows(_states(spark, folder), "span.price", {"price": "."}).where("fields['price'] IS NOT NULL").select("capture_id", "snapshot_no").distinct()
 
 
 def _files(rows: DataFrame, name: str) -> str:

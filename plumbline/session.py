@@ -135,11 +135,13 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(full, os.path.join("plumbline", os.path.relpath(full, root)))
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        place = f"{shared.rstrip('/')}/plumbline-code-{uuid.uuid4().hex}/plumbline.zip"
+        place = f"{shared_folder(spark, 'code')}/plumbline.zip"
         target = sc._jvm.org.apache.hadoop.fs.Path(place)  # noqa: SLF001
         stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)  # noqa: SLF001
         stream.write(bytearray(packed.getvalue()))
         stream.close()
+    elif not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         place = os.path.join(tempfile.mkdtemp(prefix="plumbline-code-"), "plumbline.zip")
         with open(place, "wb") as out:

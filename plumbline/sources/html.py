@@ -178,9 +178,10 @@ def select(node: Node, selector: str) -> list[Node]:
 
 
 def value(node: Node, selector: str) -> str | None:
-    """The first match's visible text, or of ``selector::attr(name)`` its attribute; null for none, hidden and blank ones."""
+    """The first match's visible text, or of ``selector::attr(name)`` its attribute; null for none, hidden and blank ones. The selector
+    ``.`` is the node itself."""
     selector, _, attribute = selector.partition("::attr(")
-    for found in select(node, selector):
+    for found in [node] if selector == "." else select(node, selector):
         if attribute:
             got = found.attrs.get(attribute.rstrip(") "))
         else:

@@ -20,8 +20,6 @@ from plumbline.functions.amounts import ISO_CODES, Found, currencies, marked_amo
 from plumbline.functions.media import decode
 from plumbline.sources.html import SILENT, Node, grid, parse, select, value
 
-#: Depth to which nested structured data is followed.
-DEPTH = 8
 # Keys of structured data that lead to further records.
 _NESTED = ("@graph", "hasVariant", "itemListElement", "item", "mainEntity", "offers", "priceSpecification", "isVariantOf")
 
@@ -85,17 +83,16 @@ def links(captures: DataFrame, hosts: list[str] | None = None) -> DataFrame:
     return scan(captures, find, "link:string,text:string")
 
 
-def _walk(data: object, depth: int = 0) -> Iterator[dict]:
-    if depth > DEPTH:
-        return
-    if isinstance(data, list):
-        for x in data:
-            yield from _walk(x, depth + 1)
-    elif isinstance(data, dict):
-        yield data
-        for key in _NESTED:
-            if key in data:
-                yield from _walk(data[key], depth + 1)
+def _walk(data: object) -> Iterator[dict]:
+    """All records of structured data, however deep, each before those in it."""
+    todo = [data]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo.extend(reversed(x))
+        elif isinstance(x, dict):
+            yield x
+            todo.extend(x[key] for key in reversed(_NESTED) if key in x)
 
 
 def _scalar(x: object) -> str | None:
@@ -118,7 +115,7 @@ def _find_json_ld(text: str, url: str | None) -> list[tuple]:  # noqa: ARG001
     for node in select(parse(text), "script[type=application/ld+json]"):
         try:
             data = json.loads(node.raw_text(), parse_float=str, parse_int=str)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         for record in _walk(data):
             if not _types(record) & {"Product", "ProductModel", "IndividualProduct"}:
@@ -181,7 +178,7 @@ def embedded_records(captures: DataFrame, name_keys: tuple[str, ...] = ("name",
                 continue
             try:
                 todo = [json.loads(node.raw_text(), parse_float=str, parse_int=str)]
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             while todo:
                 x = todo.pop()
@@ -315,9 +312,9 @@ def frontier(found: DataFrame, priority: str, order: str, group: str, limit: int
 
 
 # Words in classes and labels that tell current, former and other amounts apart.
-_CURRENT = frozenset("sale sales discount discounted final current selling special now deal offer dc member".split())
-_FORMER = frozenset("origin original regular consumer retail before was strike old msrp compare list".split())
-_OTHER = frozenset("shipping delivery point points reward mileage coupon installment unit per".split())
+_CURRENT = frozenset(("sale", "sales", "discount", "discounted", "final", "current", "selling", "special", "now", "deal", "offer", "dc", "member"))
+_FORMER = frozenset(("origin", "original", "regular", "consumer", "retail", "before", "was", "strike", "old", "msrp", "compare", "list"))
+_OTHER = frozenset(("shipping", "delivery", "point", "points", "reward", "mileage", "coupon", "installment", "unit", "per"))
 _CURRENT_LABEL = re.compile(r"판매가|할인가|혜택가|최종가|특가|최저가|sale\s*price|now\b|our\s*price", re.IGNORECASE)
 _FORMER_LABEL = re.compile(r"정가|소비자가|시중가|기존가|정상가|권장가|\bwas\b|regular\s*price|list\s*price|\bmsrp\b", re.IGNORECASE)
 _OTHER_LABEL = re.compile(

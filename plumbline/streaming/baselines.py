@@ -28,6 +28,12 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
+def _remove(spark: SparkSession, places: list[str]) -> None:
+    for place in places:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)  # noqa: SLF001
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def current_baselines(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest complete version of the baselines; None before the first."""
     known = _versions(spark, path)
@@ -40,7 +46,8 @@ def advance_baselines(
     """A writer that keeps, for each key, the newest row that is ``trusted`` (all are, if none is given).
 
     Each micro-batch makes a new version of the whole table in its own folder, named by the batch. A batch that is run
-    again after a failure starts from the version before it and overwrites its own, so the result is exactly once. A row
+    again after a failure starts from the version before it and overwrites its own, so the result is exactly once; versions before
+    that one are removed, so two of them are kept. A row
     that isn't trusted never replaces one that is. Late rows are compared by ``version``, not by arrival.
     """
 
@@ -50,6 +57,7 @@ def advance_baselines(
         earlier = [v for v in _versions(spark, path) if v < number]
         base = spark.read.parquet(f"{path}/v{earlier[-1]:012d}") if earlier else rows.limit(0)
         upsert(base, rows, keys, version).write.mode("overwrite").parquet(f"{path}/v{number:012d}")
+        _remove(spark, [f"{path}/v{v:012d}" for v in earlier[:-1]])
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

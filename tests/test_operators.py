@@ -221,3 +221,34 @@ def test_large_pages_and_samples_by_rank(spark, monkeypatch):
 def test_a_chain_of_more_than_64_hops(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(66)], "a int, b int").coalesce(1)
     assert reachable(edges, spark.createDataFrame([(0,)], "node int"), "a", "b").count() == 67
+
+
+def test_carried_forward_over_partitions(spark):
+    """Against brute force, with keys that fill several range partitions, nulls, and few distinct keys."""
+    import random
+
+    from plumbline.operators.windows import carried_forward, occurrence_suffix, previous_value
+
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "a", "a", "b", "c", None]), i, rng.choice([None, None, None, i])) for i in range(400)]
+    data += [("b", 1000 + i, None) for i in range(40)]
+    df = spark.createDataFrame(data, "k string, t int, v int").repartition(3)
+    for before in (False, True):
+        got = {(r.k, r.t): r.seen for r in carried_forward(df, "k", [F.col("t")], "v", "seen", before=before).collect()}
+        want, last = {}, {}
+        for k, t, v in sorted(data, key=lambda r: r[1]):
+            now = v if v is not None else last.get(k)
+            want[k, t] = None if k is None else last.get(k) if before else now
+            last[k] = now
+        assert got == want
+    assert carried_forward(df.limit(0), "k", [F.col("t")], "v", "seen").count() == 0
+    number, want = {}, set()
+    for k, t, _ in sorted(data, key=lambda r: r[1]):
+        number[k] = number.get(k, 0) + 1
+        want.add((t, None if k is None else k if number[k] == 1 else f"{k}#{number[k]}"))
+    assert {(r.t, r.x) for r in occurrence_suffix(df, "k", [F.col("t")], "x").collect()} == want
+    last, want = {}, set()
+    for k, t, _ in sorted(data, key=lambda r: r[1]):
+        want.add((t, last.get(k)))
+        last[k] = t
+    assert {(r.t, r.p) for r in previous_value(df, "k", [F.col("t")], "t", "p").collect()} == want

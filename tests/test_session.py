@@ -33,12 +33,28 @@ from plumbline.session import cut_lineage, ship_package
 from plumbline.functions.text import comparable_column
 ship_package(spark); ship_package(spark)
 print("rows", cut_lineage(spark.range(3).select(comparable_column(F.lit("A")).alias("x"))).count())
+import glob
+print("files", len(glob.glob("{tmp_path}/shared/plumbline-code-*/plumbline.zip")), len(glob.glob("{tmp_path}/shared/*")))
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert "rows 3" in done.stdout, done.stderr[-2000:]
-    assert len(glob.glob(f"{tmp_path}/shared/plumbline-code-*/plumbline.zip")) == 1 and len(glob.glob(f"{tmp_path}/shared/*")) == 2
+    assert "files 1 2" in done.stdout, done.stdout
+    assert not glob.glob(f"{tmp_path}/shared/plumbline-*")  # removed when the driver ended
 
 
 def test_tables(spark, folder):
     assert table(spark, folder, "documents", "doc_id").columns == ["doc_id"]
     assert stream_table(spark, folder, "captures").isStreaming
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from plumbline.session import broadcast_if_small, written
+
+    small = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "k int, v string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()  # noqa: E731, SLF001
+    assert hinted(broadcast_if_small(small, "k")) and not hinted(broadcast_if_small(small, "k", max_rows=19)) and not hinted(broadcast_if_small(small, "k", max_bytes=2000))
+    left = spark.range(40).selectExpr("cast(id AS int) AS k")
+    rows = [left.join(broadcast_if_small(small, "k", max_bytes=b), "k").count() for b in (0, 10**6)]
+    assert rows == [20, 20] and broadcast_if_small(small.limit(0), "k").count() == 0
+    again = written(small)
+    assert again.schema == small.schema and again.count() == 20 and written(small.limit(0)).count() == 0
