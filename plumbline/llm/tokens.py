@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,12 +217,14 @@ def encode_documents(
 
     Empty and null texts have an empty list. The strings of special tokens in a text are ordinary text. Rows with a
     null id are kept, repeated rows are repeated, other columns are ignored. No shuffle: texts are encoded where they
-    are read. ``path`` must be readable on every executor.
+    are read. The vocabulary is read on the driver's machine and sent to every executor as a file of the application.
     """
     place = path or vocabulary_path()
+    documents.sparkSession.sparkContext.addFile(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _corpus_encoder(place, pattern)
+        sent = SparkFiles.get(os.path.basename(place))
+        encode = _corpus_encoder(sent if os.path.exists(sent) else place, pattern)
         for batch in batches:
             texts = batch.column(1)
             offsets, values, group, chars = array("i", [0]), array("i"), [], 0

@@ -176,3 +176,12 @@ def test_texts(spark):
     got = {(r.capture_id, r.snapshot_no): r.text for r in main_text(df).collect()}
     assert set(got) == {("a", 0), ("a", 1), ("c", 0)} and got["a", 0] == got["a", 1] and got["a", 0].startswith("Ångvik floor lamp SHA-66918\n141.02 USD")
     assert got["c", 0] == "" and main_text(df.limit(0)).count() == 0 and len(TABLES) == 2
+
+
+def test_groups_and_memory_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(f"c{i}", T, PAGE.replace("Weight", f"Weight {i}").encode(), None, None, "x") for i in range(6)], SHAPE)
+    want = rows(main_body(df))
+    monkeypatch.setattr("plumbline.llm.boilerplate.GROUP_BYTES", 1)
+    monkeypatch.setattr("plumbline.llm.boilerplate.REMEMBERED", 1)
+    found = Classifier(default_model())
+    assert [found.pages([(PAGE.encode(), "utf-8")])[0] for _ in range(3)] == [MAIN] * 3 and rows(main_body(df)) == want

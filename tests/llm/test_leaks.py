@@ -57,3 +57,13 @@ def test_against_brute_force_in_small_blocks(spark, monkeypatch):
                 want.append((d, i))
     got = leaked_items(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), run=4)
     assert rows(got) == sorted(want, key=repr) and len(item_runs(items, 4)) > 10
+
+
+def test_blocks_and_passes_find_the_same(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 30])) for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i * 7 : i * 7 + 25])) for i in range(40)], "doc_id long, text string")
+    want = rows(leaked_items(docs, items))
+    monkeypatch.setattr("plumbline.llm.leaks.BLOCK_CHARS", 500)
+    monkeypatch.setattr("plumbline.llm.leaks.PASS_BLOCKS", 2)
+    assert rows(leaked_items(docs, items)) == want and len(want) > 40

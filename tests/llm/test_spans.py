@@ -144,3 +144,11 @@ def test_surroundings():
         assert len(found) <= 14 and (starts is None or [r for f in found for r in f.starts] == starts), (text[:20], found)
         assert all(text[s : s + 20] == f.shown[f.lead : f.lead + 20] for f in found for s, _ in f.starts)
     assert agreement("aXYZb", 1, "cXYZb", 1, 3) == (0, 1) and agreement("aXYZb", 1, "aXYWb", 1, 3) is None and agreement("XYZ", 0, "aXYZ", 1, 3) == (0, 0)
+
+
+def test_plans_on_both_sides_of_their_bounds_agree(spark, monkeypatch):
+    span, rng = 30, random.Random(12)
+    texts = random_texts(rng, 30, span)
+    want = set(rows(SharedSpans(frame(spark, texts), span=span, shingle=20).pairs()))
+    monkeypatch.setattr("plumbline.llm.spans.FETCH_IDS", 0)
+    assert set(rows(SharedSpans(frame(spark, texts), span=span, shingle=20).pairs())) == want == brute(texts, span)[0]
