@@ -546,7 +546,7 @@ def _headed_row(text: str) -> list[tuple[str, str | None, str | None]]:
         return []
     around = heads[0].parent
     for _ in range(2):
-        if around is None or around.tag in ("body", "html"):
+        if around is None or around.tag in ("body", "html", "#root"):
             return []
         shown = around.text()
         if marked_amounts(shown) and len(_prices(around)) <= 3:
