@@ -40,3 +40,11 @@ def latest_by_window(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 def first_per_key(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """The row of each key with the smallest ``position`` (the ordered distinct of an input list)."""
     return latest_by_window(df, keys, [F.col(position).asc_nulls_last()])
+
+
+def newest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
+    """One whole row for each key: one with the greatest ``version`` (null is the least). For rows that have no order, with maps or long contents:
+    only keys and versions are compared and shuffled before the rows are joined to them."""
+    newest = df.groupBy(F.col(key).alias("__key")).agg(F.max(version).alias("__version"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(version).eqNullSafe(F.col("__version"))
+    return df.join(newest, same).select(*df.columns).dropDuplicates([key])

@@ -23,7 +23,7 @@ from plumbline.operators.measures import normalize_offers, same_offers
 from plumbline.operators.pairing import SEVERITY, item_changes, severity
 from plumbline.operators.sets import insert_if_absent, multiset_difference, union_with_provenance, upsert
 from plumbline.operators.snapshots import refresh_changes
-from plumbline.operators.versions import latest_per_key
+from plumbline.operators.versions import latest_per_key, newest_rows
 from plumbline.operators.windows import batch_slices, deterministic_sample, occurrence_suffix, page, previous_value
 from plumbline.session import broadcast_if_small, shared_folder
 from plumbline.sources.pages import css_rows, generic_records, links, price_lines, repeated_cards, snapshots
@@ -716,8 +716,9 @@ def content_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _page_states(spark: SparkSession, folder: str) -> DataFrame:
-    """Every state of every captured page, as the page scans read them."""
-    return snapshots(table(spark, folder, "captures", "capture_id", "url", "content", "media_type", "variant_snapshots"))
+    """Every state of every captured page in its latest delivery, as the page scans read them."""
+    rows = table(spark, folder, "captures", "capture_id", "url", "content", "media_type", "variant_snapshots", "ingested_at")
+    return snapshots(newest_rows(rows, "capture_id", "ingested_at"))
 
 
 @query()

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.plans.queries import query
+from plumbline.plans.queries import _page_states, query
 from plumbline.session import shared_folder
 from plumbline.sources.pages import (
-    by_adapter, css_rows, embedded_records, frontier, generic_records, json_ld, links, microdata, pagination_links, pattern_rows, platform_cards, repeated_cards, snapshots, table_cells,
+    by_adapter, css_rows, embedded_records, frontier, generic_records, json_ld, links, microdata, pagination_links, pattern_rows, platform_cards, repeated_cards, table_cells,
 )
 from plumbline.sources.records import read_csv, read_json, read_xlsx
 from plumbline.sources.sinks import workbook
@@ -155,28 +155,25 @@ def scan_platform_cards(spark: SparkSession, folder: str) -> DataFrame:
     return platform_cards(pages).select(F.col("capture_id").alias("product_id"), "platform", "name", "amount")
 
 
-_STATES = """s AS (SELECT capture_id, 0 AS snapshot_no, url, content AS c FROM captures UNION ALL
-    SELECT capture_id, CAST(generate_subscripts(variant_snapshots, 1) AS INTEGER), coalesce(unnest(variant_snapshots).final_url, url), unnest(variant_snapshots).content FROM captures),
+_STATES = """one AS (SELECT DISTINCT ON (capture_id) * FROM captures ORDER BY capture_id, ingested_at DESC),
+    s AS (SELECT capture_id, 0 AS snapshot_no, url, content AS c FROM one UNION ALL
+    SELECT capture_id, CAST(generate_subscripts(variant_snapshots, 1) AS INTEGER), coalesce(unnest(variant_snapshots).final_url, url), unnest(variant_snapshots).content FROM one),
     t AS (SELECT capture_id, snapshot_no, url, replace(CAST(c AS VARCHAR), chr(92) || 'x22', chr(34)) AS shown FROM s WHERE octet_length(c) > 0)"""
 
 
-def _states(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshots(table(spark, folder, "captures", "capture_id", "url", "content", "media_type", "variant_snapshots"))
-
-
 @query(
     rf"""WITH {_STATES}, h AS (SELECT *, unnest(regexp_extract_all(shown, '<a href="([^"]*)"', 1)) AS href FROM t)
     SELECT DISTINCT capture_id, snapshot_no, CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(url, '^https?://[^/]+') || href END AS link FROM h"""
 )
 def page_targets(spark: SparkSession, folder: str) -> DataFrame:
     """Where the links of every state of every page lead to, each target once."""
-    return links(_states(spark, folder)).select("capture_id", "snapshot_no", "link").distinct()
+    return links(_page_states(spark, folder)).select("capture_id", "snapshot_no", "link").distinct()
 
 
 @query(rf"""WITH {_STATES} SELECT DISTINCT capture_id, snapshot_no FROM t WHERE contains(shown, '<span class="price">')""")
 def pages_with_prices(spark: SparkSession, folder: str) -> DataFrame:
     """The states of pages on which a CSS rule finds a displayed price."""
-    return css_rows(_states(spark, folder), "span.price", {"price": "."}).where("fields['price'] IS NOT NULL").select("capture_id", "snapshot_no").distinct()
+    return css_rows(_page_states(spark, folder), "span.price", {"price": "."}).where("fields['price'] IS NOT NULL").select("capture_id", "snapshot_no").distinct()
 
 
 def _files(rows: DataFrame, name: str) -> str:

@@ -252,3 +252,12 @@ def test_carried_forward_over_partitions(spark):
         want.add((t, last.get(k)))
         last[k] = t
     assert {(r.t, r.p) for r in previous_value(df, "k", [F.col("t")], "t", "p").collect()} == want
+
+
+def test_newest_rows(spark):
+    from plumbline.operators.versions import newest_rows
+
+    data = [("a", 1, {"x": "1"}), ("a", 2, {"x": "2"}), ("a", 2, {"x": "2"}), ("b", None, None), (None, 1, None), (None, None, None)]
+    df = spark.createDataFrame(data, "k string, v int, m map<string,string>")
+    assert sorted(((r.k, r.v, r.m) for r in newest_rows(df, "k", "v").collect()), key=repr) == sorted([("a", 2, {"x": "2"}), ("b", None, None), (None, 1, None)], key=repr)
+    assert newest_rows(df.limit(0), "k", "v").count() == 0
