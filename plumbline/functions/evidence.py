@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.amounts import hinted_currency, replayed_amount
+from plumbline.functions.amounts import hinted_currency, plain_decimal, replayed_amount
 from plumbline.functions.terms import BASES, MONTHS, YEARS
 
 _DIGITS = r"(?:\d{1,3}(?:,\d{3})+|\d+)"
@@ -80,7 +80,7 @@ def comparable_value(field: Column, value: Column) -> Column:
     months = F.nullif(F.regexp_extract(text, r"^(\d+)\s*(?:개월|months?|か月)?$", 1), F.lit(""))
     figure = F.translate(F.regexp_extract(text, r"^([\d,.]+)\s*만?\s*(?:원|krw|km)?$", 1), ",", "").try_cast("decimal(30,6)")
     amount = figure * F.when(text.rlike(r"만"), 10_000).otherwise(1)
-    shown = F.regexp_replace(F.regexp_replace(amount.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    shown = plain_decimal(amount)
     return F.when(field.isin(*_MONTH), F.coalesce(months, text)).when(field.isin("price", "deposit_amount", "annual_mileage_km"), F.coalesce(shown, text)).otherwise(text)
 
 

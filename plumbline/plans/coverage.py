@@ -233,9 +233,6 @@ def issues_page(spark: SparkSession, folder: str) -> DataFrame:
     return page(rows, [F.desc("fetched_at"), F.col("capture_id")], offset=10, limit=50).select("capture_id", "source_id", "status", "total", "has_more")
 
 
-_AMOUNT_CODES = "AUD|CAD|CHF|CNY|EUR|GBP|HKD|JPY|KRW|NZD|SGD|TWD|USD"
-
-
 @query(
     r"""SELECT row_id, ingested_at, CASE WHEN NOT regexp_matches(p, '\d') OR p IS NULL THEN 'no_amount' WHEN regexp_full_match(p, '(KRW|USD|EUR) \d+') THEN NULL END AS reason,
     CASE WHEN regexp_full_match(p, '(KRW|USD|EUR) \d+') THEN regexp_replace(substr(p, 5), '^0+(\d)', '\1') END AS value

@@ -51,7 +51,7 @@ def test_amount_readings(spark):
     got = column(spark, ["보증금 300,000원 월 5원", "deposit: 5 USD, deposit 6 USD", "none", None, "Kaution 5 EUR oder 6 EUR"], deposit)
     assert [tuple(g) for g in got] == [(None, "several"), (None, "several_labels"), (None, "no_label"), (None, "no_label"), (None, "several")]
     assert tuple(column(spark, ["The deposit of 1,200 USD is returned"], deposit)[0]) == ("1200", None)
-    assert [x and float(x) for x in column(spark, ["1,234.5", "3만", "1,23", "x", None, "0"], lambda v: scaled_decimal(v, F.lit(10)))] == [12345.0, 300000.0, None, None, None, 0.0]
+    assert column(spark, ["1,234.5", "3만", "1,23", "x", None, "0"], lambda v: scaled_decimal(v, F.lit(10))) == ["12345", "300000", None, None, None, "0"]
 
 
 def test_urls(spark):
