@@ -116,21 +116,35 @@ class Uses:
             }
         )
 
-    def of(self, text: str) -> tuple[int, float]:
+    def __post_init__(self) -> None:
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def _word(self, word: str) -> tuple[int, float]:
+        """How many odds a word has, of its own or of its pairs, and their sum."""
+        odds = self.odds
+        if word in odds:
+            return 1, odds[word]
+        found = [odds[p] for i in range(len(word) - 1) if (p := f"~{word[i : i + 2]}") in odds] if len(word) > 2 and not word.isascii() else []
+        return len(found), sum(found)
+
+    def of(self, text: str, coded: bool = True) -> tuple[int, float]:
         """Number of known words, up to 9, and the sum of their odds, of unknown words by their pairs, for the number of
-        both."""
-        odds, known = self.odds, []
-        for word, pairs in tokens(text):
-            if word in odds:
-                known.append(odds[word])
-            else:
-                known += [odds[p] for p in pairs if p in odds]
-        return min(9, len(known)), max(-6.0, min(6.0, sum(known) / math.sqrt(len(known)))) if known else 0.0
-
-
-def is_name(shown: str) -> bool:
+        both. Without ``coded`` the text holds no code. Words are remembered, up to a number."""
+        known, heard, total = self.known, 0, 0.0
+        for word in _WORD.findall((_CODE.sub(" ", text) if coded else text).lower()):
+            got = known.get(word)
+            if got is None:
+                if len(known) > 200_000:
+                    known.clear()
+                got = known[word] = self._word(word)
+            heard += got[0]
+            total += got[1]
+        return min(9, heard), max(-6.0, min(6.0, total / math.sqrt(heard))) if heard else 0.0
+
+
+def is_name(shown: str, coded: re.Match[str] | None = None) -> bool:
     """Whether a line is a name with a code, not a sentence or a stated property. Its words say nothing about its use."""
-    coded = _CODE.search(shown)
+    coded = coded or _CODE.search(shown)
     return bool(coded) and not _BREAK.search(shown) and not _LOST.search(shown) and len(shown) < 90 and shown.find(": ", 0, coded.start()) < 0
 
 
@@ -179,8 +193,8 @@ def read_line(raw: str, uses: Uses) -> Line:
         return Line(*_EMPTY, opens, closes)
     digits = sum(map(str.isdigit, shown))
     coded, sentence, colon = _CODE.search(shown), bool(_BREAK.search(shown)), ": " in shown or "：" in shown
-    named = is_name(shown)
-    heard, use = (1, 0.0) if named else uses.of(shown)
+    named = coded is not None and is_name(shown, coded)
+    heard, use = (1, 0.0) if named else uses.of(shown, coded is not None)
     return Line(
         words=len(shown.split(" ")), chars=len(shown), kind=kind, link=round(link, 3),
         code=int(bool(coded)), money=int(bool(_MONEY.search(shown))), digits=round(digits / len(shown), 3),
