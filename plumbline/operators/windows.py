@@ -55,12 +55,25 @@ def deterministic_sample(df: DataFrame, key: str, fingerprint: str, ratio: float
     return _first(ranked, [F.col("sample_hash"), F.col(key)], 0, wanted)
 
 
+#: Up to so many rows of a key are sorted in one task; with a key of more, rows are spread over range partitions. Results are the same.
+KEY_ROWS = 1_000_000
+
+
+def _has_large_key(df: DataFrame, key: str) -> bool:
+    """Whether any key, null among them, has more than ``KEY_ROWS`` rows; one pre-aggregated count."""
+    most = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    return most is not None and most > KEY_ROWS
+
+
 def occurrence_suffix(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
     """``name``: the key, with ``#2``, ``#3``, ... on its second, third, ... row in the order. Null keys stay null.
 
-    Rows are numbered in the whole order by key and order, and a row's number within its key counts from the key's first: a key with any
-    number of rows is spread over many tasks.
+    If a key has very many rows, all are numbered in the whole order by key and order, and a row's number within its key counts from the
+    key's first, so that it is spread over many tasks.
     """
+    if not _has_large_key(df, key):
+        rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        return df.withColumn(name, F.when(F.col(key).isNull(), None).when(rn == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("#"), rn)))
     ranked = global_rank(df, [F.col(key).asc_nulls_first(), *order], "__rank")
     firsts = ranked.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("__rank").alias("__first"))
     numbered = ranked.join(firsts, key, "left").withColumn("__rn", F.col("__rank") - F.col("__first") + 1)
@@ -71,8 +84,11 @@ def occurrence_suffix(df: DataFrame, key: str, order: Sequence[Column], name: st
 def previous_value(df: DataFrame, key: str, order: Sequence[Column], value: str, name: str) -> DataFrame:
     """``name``: the value of the row before, in the order, of the same key (null keys are one); null for the first.
 
-    Rows are numbered in the whole order by key and order and joined with those one number before, so that no key is one task.
+    If a key has very many rows, all are numbered in the whole order by key and order and joined with those one number before, so that no key
+    is one task.
     """
+    if not _has_large_key(df, key):
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
     ranked = global_rank(df, [F.col(key).asc_nulls_first(), *order], "__rank")
     before = ranked.select((F.col("__rank") + 1).alias("__rank"), F.col(key).alias("__key"), F.col(value).alias("__value"))
     return ranked.join(before, "__rank", "left").select(*df.columns, F.when(F.col(key).eqNullSafe(F.col("__key")), F.col("__value")).alias(name))
@@ -82,9 +98,12 @@ def carried_forward(df: DataFrame, key: str, order: Sequence[Column], value: str
     """``name``: the last ``value`` that isn't null of the rows of a key up to a row in the order (``before`` it, if given); null if there is none
     and for null keys.
 
-    Rows are range-partitioned by key and order and each partition is carried forward by itself. What the last key of a partition leaves
-    to the next ones is one small row a partition. So a key with a third of all rows is spread over many tasks.
+    If a key has very many rows, all are range-partitioned by key and order and each partition is carried forward by itself. What the last
+    key of a partition leaves to the next ones is one small row a partition. So a key with a third of all rows is spread over many tasks.
     """
+    if not _has_large_key(df.where(F.col(key).isNotNull()), key):
+        so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        return df.withColumn(name, F.when(F.col(key).isNotNull(), F.last(value, True).over(so_far)))
     ranged = cut_lineage(df.where(F.col(key).isNotNull()).repartitionByRange(F.col(key), *order).withColumn("__part", F.spark_partition_id()))
     within = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     here = ranged.withColumn("__here", F.last(value, True).over(within))

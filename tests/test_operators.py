@@ -223,8 +223,10 @@ def test_a_chain_of_more_than_64_hops(spark):
     assert reachable(edges, spark.createDataFrame([(0,)], "node int"), "a", "b").count() == 67
 
 
-def test_carried_forward_over_partitions(spark):
-    """Against brute force, with keys that fill several range partitions, nulls, and few distinct keys."""
+@pytest.mark.parametrize("rows_of_key", [0, 1_000_000])
+def test_carried_forward_over_partitions(spark, monkeypatch, rows_of_key):
+    """Against brute force on both sides of the bound, with keys that fill several range partitions, nulls, and few distinct keys."""
+    monkeypatch.setattr("plumbline.operators.windows.KEY_ROWS", rows_of_key)
     import random
 
     from plumbline.operators.windows import carried_forward, occurrence_suffix, previous_value
